@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import token_counts
+from noticeloom.llm import piece_sampling, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op3_token_files": token_files.op3_token_files,
+    "op5_sampled_pieces": piece_sampling.op5_sampled_pieces,
 }
 ORACLES: dict[str, str] = {}
