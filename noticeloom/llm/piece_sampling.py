@@ -22,6 +22,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticeloom.llm.common import table, texts
 
@@ -257,7 +258,7 @@ def encode_sampled(documents: DataFrame, path: str | None = None, seed: int = SE
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], names=[*part.schema.names, "piece_ids"])
                     begin, size = i + 1, 0
 
-    return docs.mapInArrow(encode, docs.schema.add("piece_ids", "array<int>"))
+    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode_pieces(piece_ids, path: str | None = None):
