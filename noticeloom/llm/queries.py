@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import piece_sampling, token_counts, token_files
+from noticeloom.llm import exact_dedup, piece_sampling, secrets, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_secrets": secrets.op2_secrets,
     "op3_token_files": token_files.op3_token_files,
     "op5_sampled_pieces": piece_sampling.op5_sampled_pieces,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+}
+ORACLES = {
+    "op8_exact_dedup": exact_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
