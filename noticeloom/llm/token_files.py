@@ -32,7 +32,7 @@ from noticeloom.llm.token_counts import SIMPLE_BELOW, _byte_alphabet, _letters_c
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: The dictionary learns from at most so many documents of at most so many bytes, those with the least hash of their id.
+#: The dictionary learns from about so many documents of at most so many bytes, drawn by the hash of their id.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_BYTES = 65_536
 DICTIONARY_BYTES = 65_536
@@ -46,6 +46,20 @@ PIECES = 200_000
 BLOCKS = "shard int, block int, first_doc_id long, last_doc_id long, ids_before long, dict_hash string, doc_ids array<long>, n_ids array<long>, offsets array<long>, payload binary"
 
 
+class Merged(dict):
+    """The packed ids of pre-tokens, merged when they are first asked for."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
+        self.merge, self.shown = tokenizer.model.tokenize, str.maketrans({chr(b): c for c, b in _byte_alphabet().items()})
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        ids = self[word] = array.array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        return ids
+
+
 class Encoder:
     """Texts to packed ids, as Tokenizer.encode gives them; pre-tokens met before are looked up."""
 
@@ -57,22 +71,13 @@ class Encoder:
         space = r"\t-\r \x85\xa0"
         self.simple = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
         self.other = re.compile(f"[^\\x00-{chr(SIMPLE_BELOW - 1)}]")
-        self.shown = str.maketrans({chr(b): c for c, b in _byte_alphabet().items()})
-        self.memo: dict[str, bytes] = {}
+        self.memo = Merged(self.tokenizer)
 
     def pieces(self, text: str) -> Iterator[str]:
         if not self.other.search(text):
             return (m[0] for m in self.simple.finditer(text)) if len(text) > 8 * PIECES else iter(self.simple.findall(text))
         return (text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
 
-    def learn(self, words: set[str]) -> None:
-        rest = [w for w in words if w not in self.memo]
-        if rest and len(self.memo) + len(rest) > MEMO_ENTRIES:
-            self.memo, rest = {}, list(words)
-        if rest:
-            merge, shown = self.tokenizer.model.tokenize, self.shown
-            self.memo.update((w, array.array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(shown))]).tobytes()) for w in rest)
-
     def encode(self, text: str) -> bytes:
         out = []
         for part in self.special.split(text) if self.special else [text]:
@@ -81,7 +86,6 @@ class Encoder:
                 continue
             pieces = self.pieces(part)
             while block := list(itertools.islice(pieces, PIECES)):
-                self.learn(set(block))
                 out.append(b"".join(map(self.memo.__getitem__, block)))
         return b"".join(out)
 
@@ -98,8 +102,9 @@ def train_dictionary(documents: DataFrame, path: str) -> DataFrame:
             content = b""
         yield pd.DataFrame({"dict_hash": [hashlib.sha256(content).hexdigest()], "content": [content]})
 
-    sample = documents.where(F.octet_length("text").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCUMENTS)
-    return sample.select("text").coalesce(1).mapInPandas(train, "dict_hash string, content binary")
+    fits = documents.where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, fits.count() // SAMPLE_DOCUMENTS)))  # about SAMPLE_DOCUMENTS rows, twice as many at most
+    return fits.where(slot == 0).repartition(1).sortWithinPartitions("doc_id", "text").select("text").mapInPandas(train, "dict_hash string, content binary")
 
 
 def write_token_files(documents: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
