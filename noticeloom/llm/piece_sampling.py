@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ MODEL = "piece_bpe_32k.model"
 SEED = 20_240_501
 ALPHA = 1.0
 #: Filtered segments that a worker remembers; the store is emptied when full, and longer segments aren't kept beyond their batch.
-STORE_SEGMENTS = 300_000
+STORE_SEGMENTS = 200_000
 KEPT_CHARS = 64
 #: Characters of a batch that are sampled together.
 GROUP_CHARS = 400_000
@@ -207,7 +208,7 @@ class Sampler:
             fresh = set().union(*split)
         self.long = {s for s in fresh if len(s) > KEPT_CHARS}
         lattices.add_all(list(fresh))
-        cut, source, ids = np.frombuffer(lattices.cut, "d").copy(), np.frombuffer(lattices.source, "q").copy(), np.frombuffer(lattices.id, "i").copy()
+        cut, source, ids = np.frombuffer(lattices.cut, "d"), np.frombuffer(lattices.source, "q"), np.frombuffer(lattices.id, "i")  # views, gone before the store grows
         counts = np.array([len(s) for s in split], "int64")
         n = int(counts.sum())
         which = np.fromiter((u for s in split for u in map(lattices.segments.__getitem__, s)), "int64", n)
@@ -236,45 +237,55 @@ class Sampler:
     long: set[str] = frozenset()
 
 
-def encode_sampled(documents: DataFrame, path: str | None = None, seed: int = SEED, alpha: float = ALPHA, *keep: str) -> DataFrame:
+def encode_sampled(documents: DataFrame, path: str | None = None, seed: int = SEED, alpha: float = ALPHA, keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """doc_id, the columns of keep, text and piece_ids: a sampled segmentation of each whole text, seeded by its doc_id.
 
     Empty and null texts have no pieces; rows that repeat get the same pieces; a null doc_id counts as 0 for the seed.
+    With decoded, a column of that name holds the text that the pieces decode to, made by the same worker.
     """
     path = path or public_tokenizers.path(MODEL)
     docs = texts(documents, *keep)
+    more = [T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(path, seed, alpha)
+        content = sampler.lattices.pieces.bytes
         for batch in batches:
-            texts_, keys = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            begin, size = 0, 0
-            for i, text in enumerate(texts_):
-                size += len(text)
-                if size >= GROUP_CHARS or i == len(texts_) - 1:
-                    found = sampler.sample(list(zip(keys[begin : i + 1], texts_[begin : i + 1])))
-                    offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype("int32")
-                    part = batch.slice(begin, i + 1 - begin)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], names=[*part.schema.names, "piece_ids"])
-                    begin, size = i + 1, 0
+            sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < len(batch):  # about GROUP_CHARS at a time
+                done = sizes[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(sizes, done + GROUP_CHARS)))
+                part = batch.slice(begin, end - begin)
+                begin = end
+                found = sampler.sample(list(zip(part["doc_id"].to_pylist(), part["text"].to_pylist())))
+                offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype("int32")
+                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))]
+                if decoded:
+                    columns.append(pa.array([_text(ids, content) for ids in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *(f.name for f in more)])
 
-    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, *more]))
+
+
+def _text(ids: np.ndarray, content: list[bytes]) -> str:
+    """The pieces' bytes joined, without the leading blank that encoding added."""
+    return b"".join(map(content.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
 def decode_pieces(piece_ids, path: str | None = None):
-    """The text of each list of piece ids: the pieces' bytes joined, without the leading blank that encoding added."""
+    """The text of each list of piece ids; null for null."""
     path = path or public_tokenizers.path(MODEL)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         content = Pieces(path, ALPHA).bytes
         for batch in batches:
-            yield pd.Series([None if ids is None else b"".join(map(content.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace") for ids in batch], dtype="object")
+            yield pd.Series([None if ids is None else _text(ids, content) for ids in batch], dtype="object")
 
     return decode(piece_ids)
 
 
 def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_sampled(table(spark, sf_dir, "documents"))
-    decoded = encoded.withColumn("decoded", decode_pieces(F.col("piece_ids")))
-    return decoded.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("lossless"))
+    encoded = encode_sampled(table(spark, sf_dir, "documents"), decoded=True)
+    return encoded.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("lossless"))
