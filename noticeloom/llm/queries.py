@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import ball_tree, exact_dedup, mixing, near_dedup, piece_sampling, quality, secrets, token_counts, token_files
+from noticeloom.llm import ball_tree, exact_dedup, mixing, near_dedup, piece_sampling, quality, secrets, suffix_family, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_sampled_pieces": piece_sampling.op5_sampled_pieces,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_repeated_passages": suffix_family.op7_repeated_passages,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality": quality.op9_quality,
     "op10_exact_top_k": ball_tree.op10_exact_top_k,
