@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import materialize, table, texts
+from noticeloom.llm.common import materialize, partitions, table, texts
 
 BLOCK_CHARS = 16_384
 
@@ -24,8 +24,10 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTIT
 
 
 def _numbered(distinct: DataFrame, name: str, *by: str) -> DataFrame:
-    """Sorts distinct rows over the cluster and numbers them by place; written at once, so that a number never changes."""
-    return materialize(distinct.orderBy(*by).withColumn("name", F.monotonically_increasing_id()), name)
+    """Sorts distinct rows over the cluster, by hash and then content, and numbers them by place; written at once, so that
+    a number never changes. Ranges are drawn by the hash alone: no contents are sampled to the driver."""
+    spread = distinct.withColumn("order", F.xxhash64(*by)).repartitionByRange(partitions(distinct.sparkSession), "order")
+    return materialize(spread.sortWithinPartitions("order", *by).drop("order").withColumn("name", F.monotonically_increasing_id()), name)
 
 
 def text_names(texts_: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
