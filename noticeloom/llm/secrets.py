@@ -31,7 +31,8 @@ THRESHOLD = 8.0
 #: Training rows of each label at most (those with the least hash), and the documents of least hash they come from.
 SAMPLE_ROWS = 20_000
 SAMPLE_DOCUMENTS = 2_000
-PRIOR = 0.5
+#: Weight of a character's own share in its transitions.
+PRIOR = 8.0
 
 
 def _running(lengths: Column) -> Column:
@@ -85,15 +86,15 @@ def labelled_samples(documents: DataFrame) -> DataFrame:
 
 def train(samples: DataFrame) -> list[float]:
     """Log ratios of the transition probabilities, random over ordinary, for each pair of ALPHABET; smoothed, so that no samples mean no preference."""
-    k = len(ALPHABET)
     pairs = samples.select("random", F.regexp_replace("value", "[^A-Za-z0-9+/_-]", "").alias("v")).where("length(v) > 1").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("v") - 1), lambda i: F.substring("v", i, F.lit(2)))).alias("pair"))
     counts = {(r.random, r.pair): r["count"] for r in pairs.groupBy("random", "pair").count().collect()}  # at most two rows for each pair of characters
-    ratios = []
-    for a in ALPHABET:
-        rows = [[counts.get((label, a + b), 0) + PRIOR for b in ALPHABET] for label in (True, False)]
-        sums = [sum(r) for r in rows]
-        ratios += [log(rows[0][j] / sums[0]) - log(rows[1][j] / sums[1]) for j in range(k)]
-    return ratios
+    models = []
+    for label in (True, False):
+        into = [sum(counts.get((label, a + b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET]
+        share = [n / sum(into) for n in into]  # a pair never seen has the share of its second character
+        rows = [[counts.get((label, a + b), 0) + PRIOR * p for b, p in zip(ALPHABET, share)] for a in ALPHABET]
+        models.append([log(x / sum(row)) for row in rows for x in row])
+    return [x - y for x, y in zip(*models)]
 
 
 def markov_spans(text: Column, ratios: list[float]) -> Column:
