@@ -103,7 +103,7 @@ def _search(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.D
             else:  # products beyond the doubles' whole numbers: whole-number arithmetic on every row
                 scores = [sum(int(a) * int(b) for a, b in zip(query, v)) for v in vectors]
                 found = sorted(((s, int(i)) for s, i in zip(scores, ids) if i != own), key=lambda x: (-x[0], x[1]))[:k]
-            rows += [(own, i, s) for s, i in found]
+            rows += [(own, i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for s, i in found]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
@@ -111,7 +111,7 @@ def top_k(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best other rows by the inner product of floor(1024 x), ties to the smaller vec_id.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows without vec_id; vectors meet
-    only vectors of their length. A vec_id that repeats counts once for each row, but never for a query with that id.
+    only vectors of their length. Sums beyond a long count as its ends. A vec_id that repeats counts once for each row, but never for a query with that id.
     """
     finite = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = embeddings.where(finite & F.col("vec_id").isNotNull()).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v")).withColumn("dim", F.size("v"))

@@ -166,7 +166,7 @@ class Lattices:
             e = order[a:b]  # one edge of each segment: no target comes twice
             total[source[e] + n[e]] += total[source[e]] * weight[e]
         target = source + n
-        order = np.argsort(target, kind="stable")
+        order = np.lexsort((source, target))
         source, target, state = source[order], target[order], state[order]
         run = np.cumsum(total[source] * weight[order] / total[target])
         first = np.flatnonzero(np.diff(target, prepend=-1))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import materialize, new_path, table, texts
+from noticeloom.llm.common import materialize, new_path, shuffles_dropped, table, texts
 
 MATCH = 50
 HEAD = 16
@@ -99,7 +99,8 @@ class SuffixFamily:
 
     def _stored(self, heads: DataFrame) -> DataFrame:
         path = new_path(self.spark, "suffix-level")
-        heads.sortWithinPartitions("head").write.option("parquet.writer.version", "PARQUET_2_0").parquet(path)
+        with shuffles_dropped(self.spark):
+            heads.sortWithinPartitions("head").write.option("parquet.writer.version", "PARQUET_2_0").parquet(path)
         return self.spark.read.schema("head long, again boolean").parquet(path)
 
     def append(self, documents: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ class SuffixFamily:
         return new.where("again").select("head")
 
 
-def repeated_passages(documents: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_passages(documents: DataFrame, batches: int = BATCHES, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of documents.
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id. Null and short texts lose
@@ -135,7 +136,7 @@ def repeated_passages(documents: DataFrame, batches: int = BATCHES) -> DataFrame
         part = docs.where((F.lit(True) if low is None else F.col("doc") > low) & (F.lit(True) if high is None else F.col("doc") <= high))
         found = family.append(part)
         seeds = found if seeds is None else seeds.unionByName(found)
-    heads = spark.sparkContext.broadcast(_hash_slots(seeds))
+    heads = spark.sparkContext.broadcast(_bit_table(seeds, filter_bits))
 
     def kept(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = heads.value
@@ -143,8 +144,7 @@ def repeated_passages(documents: DataFrame, batches: int = BATCHES) -> DataFrame
             parts = []
             for doc, mark, data in zip(batch["doc"].to_pylist(), batch["mark"].to_pylist(), _bytes(batch)):
                 head, start, count = suffixes(data)
-                slot = _slot(head)
-                hit = (bits[(slot >> np.uint64(6)).astype("int64")] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                hit = _marked(head, bits)
                 if hit.any():
                     head, start, count = head[hit], start[hit], count[hit]
                     parts.append((head.astype("int64"), _regions(data, start, count), np.full(len(head), doc, "int64"), mark << 47 | start << 6 | count))
@@ -157,13 +157,12 @@ def repeated_passages(documents: DataFrame, batches: int = BATCHES) -> DataFrame
     rows = rows.withColumn("before", F.min("doc").over(region) < F.col("doc"))
     rows = materialize(rows.where("before or differ").select("doc", "at", "before", F.when(~F.col("before"), F.col("head")).alias("head"), F.when(~F.col("before"), F.col("many")).alias("many")), "suffix-matches")
 
-    involved = spark.sparkContext.broadcast(_hash_slots(rows.select("doc")))
+    involved = spark.sparkContext.broadcast(_bit_table(rows.select("doc"), filter_bits))
 
     def split(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = involved.value
         for batch in batches_:
-            slot = _slot(batch["doc"].to_numpy(zero_copy_only=False).astype("uint64"))
-            hit = (bits[(slot >> np.uint64(6)).astype("int64")] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+            hit = _marked(batch["doc"].to_numpy(zero_copy_only=False).astype("uint64"), bits)
             done = [None if h else hashlib.sha256(data).hexdigest() for h, data in zip(hit, _bytes(batch))]
             text = pa.array([t.as_py() if h else None for h, t in zip(hit, batch["text"])], pa.string())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["doc"], batch["mark"], batch["n_bytes"], pa.array(done, pa.string()), text], names=["doc_id", "doc", "mark", "n_bytes", "sha", "text"])
@@ -193,21 +192,26 @@ def _repeats(parts: DataFrame) -> bool:
     return not parts.groupBy("doc").count().where("count > 1").isEmpty()
 
 
-def _slot(values: np.ndarray) -> np.ndarray:
-    return (_mixed(values * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(11)) & np.uint64(FILTER_BITS - 1)
+def _slot(values: np.ndarray, size: int) -> np.ndarray:
+    return (_mixed(values * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(11)) & np.uint64(size - 1)
 
 
-def _hash_slots(values: DataFrame) -> np.ndarray:
-    """A table of FILTER_BITS bits with the slots of all values set. Tasks turn values to slots, an aggregate joins them to
+def _marked(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = _slot(values, len(bits) * 64)
+    return (bits[(slot >> np.uint64(6)).astype("int64")] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _bit_table(values: DataFrame, size: int) -> np.ndarray:
+    """A table of `size` bits with the slots of all values set. Tasks turn values to slots, an aggregate joins them to
     words; at most the fixed table reaches the driver, however many values there are."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = np.unique(_slot(batch[0].to_numpy(zero_copy_only=False).astype("uint64")))
+            slot = np.unique(_slot(batch[0].to_numpy(zero_copy_only=False).astype("uint64"), size))
             yield pa.RecordBatch.from_pydict({"w": (slot >> np.uint64(6)).astype("int64"), "b": (np.uint64(1) << (slot & np.uint64(63))).view("int64")})
 
     found = values.mapInArrow(slots, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, "uint64")
+    bits = np.zeros(size // 64, "uint64")
     bits[found["w"].to_numpy()] = found["b"].to_numpy().view("uint64")
     return bits
 
