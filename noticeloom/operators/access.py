@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,18 +34,25 @@ def fold(rows: Iterable[tuple], limit: int, lock: pd.Timedelta, count: int = 0,
 def lockouts(log: DataFrame, limit: int = LIMIT, lock_minutes: int = LOCK_MINUTES) -> DataFrame:
     """(key, event_id, ts, decision, failures, locked_until, minutes_left) for each attempt (key, ts, outcome, event_id).
 
-    Keys are independent: the attempts of one key are folded in time order, those of all keys in parallel.
+    The log is dealt by key and sorted by time; each task folds its keys as they pass and holds the state of one, so a hot
+    key needs no more memory than others.
     """
     lock = pd.Timedelta(minutes=lock_minutes)
     columns = ["key", "event_id", "ts", "decision", "failures", "locked_until"]
 
-    def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        out, _, _ = fold(zip(rows["ts"], rows["outcome"], rows["event_id"]), limit, lock)
-        return pd.DataFrame([(key[0], *r) for r in out], columns=columns).astype({"locked_until": "datetime64[us]", "ts": "datetime64[us]"})
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, count, until = None, 0, None
+        for batch in batches:
+            parts = []
+            for key, rows in batch.groupby("key", sort=False, dropna=False):
+                if key != last:
+                    last, count, until = key, 0, None
+                out, count, until = fold(zip(rows["ts"], rows["outcome"], rows["event_id"]), limit, lock, count, until)
+                parts += [(key, *r) for r in out]
+            yield pd.DataFrame(parts, columns=columns).astype({"locked_until": "datetime64[us]", "ts": "datetime64[us]"})
 
     schema = "key long, event_id long, ts timestamp_ntz, decision string, failures long, locked_until timestamp_ntz"
-    rows = log.groupBy("key").applyInPandas(decide, schema)
+    rows = log.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(decide, schema)
     return rows.withColumn("minutes_left", F.when(F.col("decision") != "allowed", F.ceil(F.timestamp_diff("SECOND", "ts", "locked_until") / 60)).cast("long"))
 
 
