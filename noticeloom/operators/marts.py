@@ -24,7 +24,8 @@ def badge(due: Column, as_of: Column) -> tuple[Column, Column]:
 
 
 def is_open(due: Column, as_of: Column) -> Column:
-    return due.isNull() | (days_until(due, as_of) >= 0)
+    """Compares the column itself, so that the scan can skip row groups."""
+    return due.isNull() | (due >= as_of)
 
 
 def is_new(first_seen: Column, as_of: Column, hours: int = 48) -> Column:
@@ -32,7 +33,7 @@ def is_new(first_seen: Column, as_of: Column, hours: int = 48) -> Column:
 
 
 def due_soon(due: Column, as_of: Column) -> Column:
-    return F.coalesce(days_until(due, as_of).between(0, 7), F.lit(False))
+    return F.coalesce(due.between(as_of, F.date_add(as_of, 7)), F.lit(False))
 
 
 def region_matches(country: Column, choice: str, home: str) -> Column:
