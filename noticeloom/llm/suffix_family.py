@@ -157,39 +157,41 @@ def repeated_passages(documents: DataFrame, batches: int = BATCHES, filter_bits:
     rows = rows.withColumn("before", F.min("doc").over(region) < F.col("doc"))
     rows = materialize(rows.where("before or differ").select("doc", "at", "before", F.when(~F.col("before"), F.col("head")).alias("head"), F.when(~F.col("before"), F.col("many")).alias("many")), "suffix-matches")
 
-    involved = spark.sparkContext.broadcast(_bit_table(rows.select("doc"), filter_bits))
-
-    def split(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = involved.value
-        for batch in batches_:
-            hit = _marked(batch["doc"].to_numpy(zero_copy_only=False).astype("uint64"), bits)
-            done = [None if h else hashlib.sha256(data).hexdigest() for h, data in zip(hit, _bytes(batch))]
-            text = pa.array([t.as_py() if h else None for h, t in zip(hit, batch["text"])], pa.string())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["doc"], batch["mark"], batch["n_bytes"], pa.array(done, pa.string()), text], names=["doc_id", "doc", "mark", "n_bytes", "sha", "text"])
-
-    sized = docs.select("doc_id", "doc", "mark", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    parts = materialize(sized.mapInArrow(split, "doc_id long, doc long, mark long, n_bytes long, sha string, text string"), "suffix-texts")
-    open_ = parts.where("text is not null")
     at = F.shiftright("at", 47)
-    mine = rows.where("not before").groupBy("doc", at.alias("mark")).agg(F.collect_list(F.struct("at", "head", "many")).alias("regions"))
-    texts_ = open_.dropDuplicates(["doc", "mark"]) if _repeats(parts) else open_
+    borders = rows.where("not before")
+    mine = borders.groupBy("doc", at.alias("mark")).agg(F.collect_list(F.struct("at", "head", "many")).alias("regions"))
+    texts_ = _only(docs.select("doc", "mark", "text"), spark.sparkContext.broadcast(_bit_table(borders.select("doc"), filter_bits)), True)
+    texts_ = texts_.dropDuplicates(["doc", "mark"]) if _repeats(docs) else texts_
     strings = texts_.join(mine, ["doc", "mark"]).select("doc", "text", "regions").mapInArrow(_region_rows, "head long, many boolean, doc long, at long, content binary")
     strings = materialize(strings, "suffix-regions")
     few = strings.where("not many").select("head", "doc", "at", "content").repartition("head").sortWithinPartitions("head").mapInArrow(_compared, "doc long, at long")
     each = strings.where("many").select("head", "doc", "at", "content").mapInArrow(_each_string, "string long, doc long, at long")
     own = Window.partitionBy("string")
     each = each.withColumn("first", F.min("doc").over(own)).where("first < doc").select("doc", "at")
-    spans = rows.where("before").select("doc", "at").unionByName(few).unionByName(each)
+    spans = materialize(rows.where("before").select("doc", "at").unionByName(few).unionByName(each), "suffix-spans")
+    touched = spark.sparkContext.broadcast(_bit_table(spans.select("doc"), filter_bits))
+    sized = docs.select("doc_id", "doc", "mark", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     spans = spans.groupBy("doc", at.alias("mark")).agg(F.collect_list("at").alias("ats"))
-    cut = open_.join(spans, ["doc", "mark"], "left").select("doc_id", "n_bytes", "text", "ats").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    zero = F.lit(0).cast("long")
-    whole = parts.where("text is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
-    return cut.unionByName(whole)
+    cut = _only(sized, touched, True).join(spans, ["doc", "mark"], "left").select("doc_id", "n_bytes", "text", "ats")
+    whole = _only(sized, touched, False).select("doc_id", "n_bytes", "text", F.array().cast("array<long>").alias("ats"))
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return cut.mapInArrow(_cut, result).unionByName(whole.mapInArrow(_cut, result))
+
+
+def _only(rows: DataFrame, bits, marked: bool) -> DataFrame:
+    """The rows whose doc is marked in a bit table, or those that aren't; the scan filters, so others are never moved."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = _marked(batch["doc"].to_numpy(zero_copy_only=False).astype("uint64"), bits.value)
+            yield batch.filter(pa.array(hit == marked))
+
+    return rows.mapInArrow(chosen, rows.schema)
 
 
-def _repeats(parts: DataFrame) -> bool:
+def _repeats(docs: DataFrame) -> bool:
     """Whether a doc_id comes twice."""
-    return not parts.groupBy("doc").count().where("count > 1").isEmpty()
+    return not docs.groupBy("doc").count().where("count > 1").isEmpty()
 
 
 def _slot(values: np.ndarray, size: int) -> np.ndarray:
