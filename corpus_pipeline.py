@@ -42,10 +42,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's documents, each as often as the epochs take it, whole ones; a document of which only a beginning fits comes whole."""
-    taken = mixing.mixed(docs).where("taken_tokens > 0").groupBy("doc_id").agg(F.max(F.col("full_epochs") + (F.col("prefix_tokens") > 0).cast("long")).alias("times"))
-    rows = docs.select(*COLUMNS).join(materialize(taken, "taken"), "doc_id")
-    return rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*COLUMNS)
+    """The mixture's rows, each as often as the epochs take it, whole ones; a row of which only a beginning fits comes whole.
+
+    Rows without doc_id and rows that repeat one take part like all others, each with what the mixture took of it.
+    """
+    rows = mixing.mixed(docs.select(*COLUMNS), keep=("text", "lang", "source", "n_chars")).where("taken_tokens > 0")
+    times = F.col("full_epochs") + (F.col("prefix_tokens") > 0).cast("long")
+    return rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("doc_id", *(F.col(f"kept.{c}").alias(c) for c in COLUMNS[1:]))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,8 +92,8 @@ def _order(epoch: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{SEED}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def mixed(documents: DataFrame, domain: str = DOMAIN, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens, full_epochs, prefix_tokens, taken_tokens for each row of documents.
+def mixed(documents: DataFrame, domain: str = DOMAIN, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, full_epochs, prefix_tokens, taken_tokens for each row of documents; with keep also kept, a struct of its columns of those names.
 
     A document comes full_epochs times whole and once more with its first prefix_tokens tokens (0: not again). The last
     document of a leaf's prefix is the only one that may be cut. Null lang and source count as '', an empty text has no
@@ -104,7 +104,10 @@ def mixed(documents: DataFrame, domain: str = DOMAIN, budget_percent: int = BUDG
     slices of the order, and only the slice in which the prefix ends is ordered by rows.
     """
     word_count = F.regexp_count("text", F.lit(TOKEN)).cast("long")
-    docs = texts(documents, "lang", "source").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), word_count.alias("n_tokens"))
+    carried = [F.struct(*(F.col(c) for c in keep)).alias("kept")] if keep else []
+    rows = documents.select("doc_id", "text", "lang", "source", *carried)
+    own = ["kept"] if keep else []
+    docs = texts(rows, "lang", "source", *own).select("doc_id", *own, *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), word_count.alias("n_tokens"))
     docs = materialize(docs.withColumn("domain", F.expr(domain)), "token-counts")
     sums = docs.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     leaves = materialize(sums.select("*", (F.col("tokens") * epochs).alias("cap"), F.expr(_case("domain", domain_weights)).alias("w1"), F.expr(_case("lang", lang_weights)).alias("w2"), F.lit(1).alias("w3")), "leaves")
@@ -124,7 +127,7 @@ def mixed(documents: DataFrame, domain: str = DOMAIN, budget_percent: int = BUDG
     cut = placed.where("ends_here").withColumn("prefix_tokens", F.greatest(F.lit(0), F.least("n_tokens", F.col("prefix") - F.col("slice_before") - inside)))
     uncut = placed.where("not ends_here").withColumn("prefix_tokens", F.when(F.col("slice_before") < F.col("prefix"), F.col("n_tokens")).otherwise(0))
     rows = cut.unionByName(uncut)
-    return rows.select("doc_id", *TREE, "n_tokens", F.col("full_epochs").cast("long"), F.col("prefix_tokens").cast("long").alias("prefix_tokens"), (F.col("full_epochs") * F.col("n_tokens") + F.col("prefix_tokens")).cast("long").alias("taken_tokens"))
+    return rows.select("doc_id", *TREE, "n_tokens", F.col("full_epochs").cast("long"), F.col("prefix_tokens").cast("long").alias("prefix_tokens"), (F.col("full_epochs") * F.col("n_tokens") + F.col("prefix_tokens")).cast("long").alias("taken_tokens"), *own)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
