@@ -7,8 +7,10 @@ similarity of 0.8 or more. Classes are the connected components of the links.
 
 Exact copies are one node. A bucket (documents that share a sketch) first compares all members with its least member.
 Where that leaves several components, buckets of up to SMALL members are compared in full; the members of larger ones get
-longer sketches, up to the last length, and where even those leave a large bucket open, further members lead in turn
-until none is left. So the work follows the number of rows, whatever passages or copies they share.
+longer sketches, up to the last length, which only joins what is easily joined. The buckets of the first length that still
+hold several components are then compared in full too, in pairs of blocks: no two texts that share a sketch stay untested
+unless a chain of links joins them or exact bounds on edits rule a link out. What does not join costs the square of its
+number in a bucket, in bounds that are cheap to compute.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ SIMILARITY = 0.8
 BANDS = 16
 KMERS = (2, 8, 32)
 SMALL = 24
+#: Rows of a large bucket that are compared with as many others in one group.
+BLOCK = 256
 SEED = 3
 #: Characters of the pairs that are aligned together.
 PAIR_CHARS = 1 << 24
@@ -177,21 +181,73 @@ def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(labels.join(merged, labels["root"] == merged["old"], "left").select("node", F.coalesce("low", "root").alias("root")), "labels")
 
 
-def _in_turn(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The links in buckets (bucket, node, label) of any size: in each round the least open member leads, until all have led or hang on a leader."""
-    links, state = None, members.withColumn("open", F.lit(True))
-    while True:
-        leads = materialize(state.where("open").groupBy("bucket").agg(F.min("node").alias("lead"), F.min_by("label", "node").alias("lead_label")), "leads")
-        if leads.isEmpty():
-            return links
-        turn = materialize(state.join(leads, "bucket"), "turn")
-        pairs = turn.where("node <> lead and label <> lead_label").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-        found = materialize(verified(materialize(pairs, "turn-pairs"), nodes), "turn-verified")
-        links = found if links is None else links.unionByName(found)
-        near = found.withColumn("near", F.lit(True))
-        turn = turn.join(near, (F.greatest("node", "lead") == near["a"]) & (F.least("node", "lead") == near["b"]), "left")
-        still = F.col("open") & (F.col("node") != F.col("lead")) & (F.col("label") != F.col("lead_label")) & F.col("near").isNull()
-        state = materialize(turn.select("bucket", "node", "label", still.alias("open")), "state")
+def _links_across(group: pd.DataFrame) -> pd.DataFrame:
+    """The links between the blocks of one group, whose rows are (i, j, own, node, label, text, lower): every pair of rows of different blocks,
+    or of one block if i = j, is aligned unless it is joined by then, is handled in a lower bucket, or has lengths or too few shared word
+    pairs that rule a link out (an edit changes two of the word pairs at most).
+    """
+    nodes, split, lower = group["node"].to_numpy(), [t.lower().split() for t in group["text"]], [set(x) for x in group["lower"]]
+    codes: dict[str, int] = {}
+    padded = [np.array([0, *(codes.setdefault(w, len(codes) + 1) for w in ws), 0], "int64") for ws in split]
+    lengths = np.array([len(ws) for ws in split])
+    grams = np.unique(np.concatenate([x[:-1] * (len(codes) + 1) + x[1:] for x in padded]), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(split)), lengths + 1)
+    order = np.lexsort((grams, row))
+    new = np.flatnonzero(np.append(True, (np.diff(grams[order]) != 0) | (np.diff(row[order]) != 0)))
+    occurrence = np.empty(len(grams), "int64")
+    occurrence[order] = np.arange(len(grams)) - np.repeat(new, np.diff(np.append(new, len(grams))))
+    ids = np.unique(grams * (occurrence.max() + 1) + occurrence, return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+    of = lambda k: ids[starts[k] : starts[k + 1]]
+
+    up = np.unique(group["label"], return_inverse=True)[1]
+    one = group["i"].iloc[0] == group["j"].iloc[0]
+    left = np.flatnonzero(group["own"] == group["i"])
+    right = left if one else np.flatnonzero(group["own"] == group["j"])
+    found: list[tuple[int, int]] = []
+    if len(right):
+        theirs, at = np.concatenate([of(k) for k in right]), np.concatenate([[0], np.cumsum(lengths[right] + 1)[:-1]])
+        mark, pairs, shares = np.zeros(len(ids), "int32"), [], []
+        for place, a in enumerate(left):
+            mark[of(a)] = 1
+            shared, longer = np.add.reduceat(mark[theirs], at), np.maximum(lengths[right], lengths[a])
+            mark[of(a)] = 0
+            allowed = (longer * (1 - SIMILARITY) + 1e-9).astype("int64")
+            may = (up[right] != up[a]) & (np.abs(lengths[right] - lengths[a]) <= allowed) & (shared >= longer + 1 - 2 * allowed)
+            if one:
+                may[: place + 1] = False
+            for k in np.flatnonzero(may):
+                if lower[a].isdisjoint(lower[right[k]]):
+                    pairs.append((a, right[k]))
+                    shares.append(shared[k] / longer[k])
+        waiting, step = np.array(pairs, "int64").reshape(-1, 2)[np.argsort(-np.array(shares), kind="stable")], 64
+        while len(waiting):
+            now, waiting, step = waiting[:step], waiting[step:], min(2 * step, 2048)
+            for a, b in now[similar([(split[a], split[b]) for a, b in now])]:
+                found.append((a, b))
+                up[up == up[b]] = up[a]
+            waiting = waiting[up[waiting[:, 0]] != up[waiting[:, 1]]]
+    ends = np.sort(nodes[np.array(found, "int64").reshape(-1, 2)], axis=1)
+    return pd.DataFrame({"a": ends[:, 1], "b": ends[:, 0]})
+
+
+def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links that join labels in buckets (bucket, node, label) of any size: no pair of different labels stays untested.
+
+    A bucket's largest label needs no comparison within. Its rows and the others are dealt into blocks of about BLOCK rows;
+    each block of the others meets all blocks, one pair of blocks a group.
+    """
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    shape = materialize(main.select("bucket", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("size") - F.col("most")).alias("others")), "shape")
+    lists = materialize(members.groupBy("node").agg(F.collect_list("bucket").alias("mine")), "lists")
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    placed = members.join(shape, "bucket").withColumn("own", F.when(F.col("label") == F.col("main"), F.col("others") + block(F.col("mains"))).otherwise(block(F.col("others"))))
+    last = F.when(F.col("label") == F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    placed = placed.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), last))).join(lists, "node")
+    rows = placed.select("bucket", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "node", "label", F.expr("filter(mine, x -> x < bucket)").alias("lower"))
+    return rows.join(nodes.select("node", "text"), "node").groupBy("bucket", "i", "j").applyInPandas(_links_across, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -206,7 +262,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     firsts = materialize(keys.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "firsts")
     present = docs.where("doc_id is not null").withColumnRenamed("doc_id", "node")
     rows = sketches(present, KMERS[0]).join(firsts.select("node").distinct(), "node", "left_semi")
-    nodes, links, labels = None, None, None
+    nodes, links, labels, wide = None, None, None, None
     for depth, size in enumerate(KMERS):
         rows = materialize(rows, f"sketches-{size}")
         buckets = materialize(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1"), "buckets")
@@ -232,14 +288,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         more = materialize(more.distinct().join(led, ["a", "b"], "left_anti"), "more-pairs")
         links = links.unionByName(materialize(verified(more, nodes), "more-verified"))
         large = materialize(named.where(F.col("size") > SMALL).select("bucket", "node", "label"), "large")
+        if depth == 0:
+            wide = large
         if large.isEmpty():
             break
         if depth + 1 < len(KMERS):
             rows = sketches(nodes.join(materialize(large.select("node").distinct(), "again"), "node", "left_semi"), KMERS[depth + 1])
-        else:
-            links = links.unionByName(_in_turn(large, nodes))
 
     roots = components(links)
+    if not wide.isEmpty():
+        named = materialize(wide.drop("label").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label")), "relabelled")
+        open_ = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
+        named = materialize(named.join(materialize(open_, "spread"), "bucket", "left_semi"), "still-open")
+        roots = components(links.unionByName(materialize(_across(named, nodes), "across")))
     named = firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
     named = materialize(named, "named")
     sized = materialize(keys.where("doc_id is not null").join(named, "key").select("doc_id", "class_id"), "sized")
