@@ -52,3 +52,17 @@ def test_blocks_meet_each_other(spark, monkeypatch):
     rng = random.Random(13)
     rows = [(c, " ".join(t)) for c, t in enumerate(variants(rng, 120, 12))]
     assert found(spark, rows) == classes(spark, rows)[0]
+
+
+def test_followers_of_different_leaders(spark, monkeypatch):
+    """A leads M, B leads X, and only M and X link the two."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "KMERS", (2,))
+    rng, rows = random.Random(14), []
+    for k in range(60):
+        m = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+        x = list(m)
+        for at in rng.sample(range(92), 19):
+            x[at] = f"s{k}y{at}"
+        rows += [(4 * k + n, " ".join(t)) for n, t in enumerate((m[:96] + ["a1", "a2"] + m[98:], x[:94] + ["b1", "b2"] + x[96:], m, x))]
+    assert found(spark, rows) == classes(spark, rows)[0]
