@@ -1,11 +1,12 @@
-"""What the operators of this subpackage share: the table reader, the shared folder and lineage cuts."""
+"""What the operators of this subpackage share: the table reader, the shared folder, tables that cut lineage and their removal."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,10 @@ def texts(documents: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a new local one is set for this session."""
+    """The folder of spark.checkpoint.dir; every session has to name one that all its executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir is not set: operators write their intermediate tables to this shared folder")
     return folder.rstrip("/")
 
 
@@ -50,13 +50,53 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     with shuffles_dropped(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at a path of the shared folder, on any store that Spark reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver find out which shuffles nothing reads any more, so that executors delete their files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@dataclass
+class Bucketed:
+    """A bucketed table in the shared folder: groups and joins by its key need no exchange."""
+
+    spark: SparkSession
+    name: str
+    path: str
+
+    def frame(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self, part: str | None = None) -> None:
+        """Deletes the table, or the files of one of its partitions."""
+        if part is None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        discard(self.spark, f"{self.path}/{part}" if part else self.path)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, key: str, by: str | None = None, spread: bool = True) -> Bucketed:
+    """Writes df as a table bucketed by key, with a folder for each value of `by`; spread=False for rows that lie so already, as they come from the groups of another table's buckets."""
+    spark = df.sparkSession
+    made = Bucketed(spark, f"{name.replace('-', '_')}_{uuid.uuid4().hex}", new_path(spark, name))
+    writer = (df.repartition(buckets, key) if spread else df).write.format("parquet").option("compression", "zstd").option("path", made.path).bucketBy(buckets, key).sortBy(key)
+    with shuffles_dropped(spark):
+        (writer.partitionBy(by) if by else writer).saveAsTable(made.name)
+    return made
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
