@@ -63,13 +63,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _joined(words: np.ndarray, at: np.ndarray, steps: tuple[int, ...], seed: np.ndarray | int = 0) -> np.ndarray:
     """Hashes of the words at the given steps from each place."""
-    out = np.zeros(len(at), "uint64") + np.uint64(seed) if isinstance(seed, int) else seed
-    last = len(words) - 1
+    out = np.full(len(at), seed, "uint64") if isinstance(seed, int) else seed
     for step in steps:
-        out = _mixed(out * _ODD + words[np.clip(at + step, 0, last)])
+        out = _mixed(out * _ODD + words[at + step])
     return out
 
 
+def _ordered(head: np.ndarray, region: np.ndarray, doc: np.ndarray | None = None, runs: bool = False) -> np.ndarray:
+    """The order by head, region and doc; most heads differ, and runs=True tells that sorted parts follow each other."""
+    order = np.argsort(head, kind="stable" if runs else None)
+    same = head[order][1:] == head[order][:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))[: len(order)]
+    part = order[tied]
+    order[tied] = part[np.lexsort((region[part], head[part]) if doc is None else (doc[part], region[part], head[part]))]
+    return order
+
+
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of 64-bit numbers, the first as differences, by byte planes and compressed."""
     first = np.diff(columns[0].view("uint64"), prepend=np.uint64(0))
@@ -94,20 +103,21 @@ class Suffixes:
         self.offsets = offsets - offsets[0]
         self.size = int(self.offsets[-1])
         self.data = (bytes(memoryview(text.buffers()[2])[offsets[0] : offsets[-1]]) if self.size else b"") + bytes(MATCH)
-        self.words = np.ndarray((self.size + MATCH - 7,), "<u8", self.data, strides=(1,))
+        self.words = np.ndarray((self.size + MATCH - 7,), "<u8", self.data, strides=(1,))  # places before the first one are read from the end, and not used then
         self.start, self.count, place = self._kept()
         words, size = self.words, self.count + MATCH - 1
         self.head = words[place].byteswap().astype("uint64")
         self.hash = _joined(words, place, (0, 8))
-        region = size.astype("uint64")
-        for at in range(0, int(size.max(initial=0)), 8):
-            more = at + 8 <= size
+        region = _joined(words, self.start, tuple(range(0, MATCH - 7, 8)), size.astype("uint64"))
+        for at in range((MATCH - 7) // 8 * 8 + 8, int(size.max(initial=0)), 8):
+            more = np.flatnonzero(at + 8 <= size)
             region[more] = _mixed(region[more] * _ODD + words[self.start[more] + at])
         self.region = _mixed(region * _ODD + words[self.start + size - 8])
         one = np.uint64(1)
-        left = np.where(place - self.start >= SIDE, _joined(words, place, (-SIDE, -9, -8), self.hash) >> np.uint64(32) | one, np.uint64(0))
-        right = np.where(self.start + size - place - HEAD >= SIDE, _joined(words, place, (HEAD, HEAD + 8, HEAD + 9), self.hash + one) >> np.uint64(32) | one, np.uint64(0))
-        self.sides = left << np.uint64(32) | right
+        self.sides = np.zeros(len(place), "uint64")
+        for has, steps, low in ((place - self.start >= SIDE, (-SIDE, -9, -8), 32), (self.start + size - place - HEAD >= SIDE, (HEAD, HEAD + 8, HEAD + 9), 0)):
+            k = np.flatnonzero(has)
+            self.sides[k] |= (_joined(words, place[k], steps, self.hash[k] + np.uint64(low)) >> np.uint64(32) | one) << np.uint64(low)
         self.row = np.searchsorted(self.offsets, self.start, "right") - 1
 
     def _kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +150,7 @@ class Suffixes:
         self.doc = doc[self.row]
         self.spread = _among(self.hash, hot)
         usual = np.flatnonzero(~self.spread)
-        order = usual[np.lexsort((self.region[usual], self.head[usual]))]
+        order = usual[_ordered(self.head[usual], self.region[usual])]
         new = np.append(True, (np.diff(self.head[order]) != 0) | (np.diff(self.region[order]) != 0) | (np.diff(self.sides[order]) != 0))[: len(order)]
         begins = np.flatnonzero(new)
         self.first = order[begins]
@@ -211,17 +221,20 @@ def _loaded(rows: pa.Table) -> list[np.ndarray]:
 
 def _scanned(shard: int, head: np.ndarray, region: np.ndarray, sides: np.ndarray, doc: np.ndarray, chunk: np.ndarray) -> tuple[list[tuple], np.ndarray]:
     """Rows that say which entries go and which are to be compared, and the place of the first of equal ones; doc is OLD for entries of a level."""
-    order = np.lexsort((doc, region, head))
+    order = _ordered(head, region, doc, True)
     head, region, sides, doc, chunk = (x[order] for x in (head, region, sides, doc, chunk))
     new = np.append(True, (np.diff(head) != 0) | (np.diff(region) != 0) | (np.diff(sides) != 0))[: len(head)]
     entry = np.cumsum(new) - 1
     gone = doc > doc[np.flatnonzero(new)][entry]
     border = np.zeros(len(head), bool)
     half = np.uint64(0xFFFFFFFF)
+    heads = np.flatnonzero(np.append(True, head[1:] != head[:-1]))[: len(head)]
+    sizes = np.diff(np.append(heads, len(head)))
+    tied = np.repeat(entry[heads] != entry[heads + sizes - 1], sizes)
     for side in (sides >> np.uint64(32), sides & half):
-        least = np.flatnonzero(~gone & (side != 0))
+        least = np.flatnonzero(tied & ~gone & (side != 0))
         key = _mixed(head[least] * _ODD + side[least])
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         begins = np.flatnonzero(np.append(True, np.diff(key[by].view("int64")) != 0))[: len(by)]
         if len(by):
             e, now = entry[least[by]], doc[least[by]] != OLD
@@ -248,6 +261,8 @@ def _against(batch: pa.Table, level: pa.Table) -> pa.Table:
     old = unpacked(level["payload"][0].as_py(), level["n"][0].as_py())
     met = _among(old[0], np.unique(head))
     old = [x[met] for x in old]
+    met = _among(head, old[0])
+    head, region, sides, doc, chunk = (x[met] for x in (head, region, sides, doc, chunk))
     now = [np.concatenate(p) for p in zip((head, region, sides, chunk), old)]
     rows, _ = _scanned(batch["shard"][0].as_py(), *now[:3], np.append(doc.view("int64"), np.full(len(old[0]), OLD)), now[3])
     return _rows(rows)
@@ -259,7 +274,7 @@ def _merged(older: pa.Table, newer: pa.Table) -> pa.Table:
         return newer if len(newer) else older
     sides_ = [unpacked(t["payload"][0].as_py(), t["n"][0].as_py()) for t in (older, newer)]
     head, region, sides, chunk = (np.concatenate(p) for p in zip(*sides_))
-    order = np.lexsort((np.repeat([0, 1], [len(s[0]) for s in sides_]), region, head))
+    order = _ordered(head, region, np.repeat([0, 1], [len(s[0]) for s in sides_]), True)
     new = np.append(True, (np.diff(head[order]) != 0) | (np.diff(region[order]) != 0) | (np.diff(sides[order]) != 0))[: len(order)]
     kept = order[new]
     return _rows([(LEVEL, older["shard"][0].as_py(), -1, len(kept), packed(*(x[kept] for x in (head, region, sides, chunk))))])
