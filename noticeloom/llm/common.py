@@ -22,6 +22,16 @@ def texts(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select("doc_id", *more, F.coalesce(documents["text"], F.lit("")).alias("text"))
 
 
+#: Tables below this size, by Spark's estimate, often lie in a single row group, which is a single task.
+SMALL_BYTES = 64 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, those of a small table dealt over all cores; larger ones stay where they lie."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; every session has to name one that all its executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

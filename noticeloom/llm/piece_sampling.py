@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeloom.llm.common import table, texts
+from noticeloom.llm.common import spread, table, texts
 
 MODEL = "piece_bpe_32k.model"
 SEED = 20_240_501
 ALPHA = 1.0
-#: Filtered segments that a worker remembers; the store is emptied when full, and longer segments aren't kept beyond their batch.
+#: Filtered segments that a worker remembers in a store; a full one is kept beside the next until that is full too. Longer segments aren't kept.
 STORE_SEGMENTS = 200_000
 KEPT_CHARS = 64
 #: Characters of a batch that are sampled together.
@@ -71,7 +71,7 @@ class Pieces:
 
 
 class Lattices:
-    """Filtered segments, flat: the edges into node v are those with v <= cut < v + 1, cut being v plus the cumulated share."""
+    """Filtered segments, flat: the edges into node v start at begin[v] and have v < cut <= v + 1, cut being v plus the cumulated share."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -80,7 +80,7 @@ class Lattices:
     def clear(self) -> None:
         self.segments: dict[str, int] = {}
         self.first, self.last = array.array("q"), array.array("q")
-        self.cut, self.source, self.id = array.array("d"), array.array("q"), array.array("i")
+        self.cut, self.source, self.id, self.begin = array.array("d"), array.array("q"), array.array("i"), array.array("q")
         self.nodes = 0
 
     def add(self, segment: str) -> None:
@@ -114,6 +114,7 @@ class Lattices:
                 total[i + 1] += here
         for v in range(n + 1):
             run, share = 0.0, total[v] or 1.0
+            self.begin.append(len(self.cut))
             for k, (s, w, p) in enumerate(into[v]):
                 run += w / share
                 self.cut.append(base + v + (1.0 if k == len(into[v]) - 1 else min(run, 1.0)))
@@ -121,6 +122,7 @@ class Lattices:
                 self.id.append(p)
         for i, at, code in chains:
             for k, b in enumerate(code[:-1]):
+                self.begin.append(len(self.cut))
                 self.cut.append(base + at + k + 1.0)
                 self.source.append(base + (i if k == 0 else at + k - 1))
                 self.id.append(pieces.byte_ids[b])
@@ -129,7 +131,6 @@ class Lattices:
         self.last.append(base + n)
         self.nodes += n + 1 + extra
 
-
     def add_all(self, segments: list[str]) -> None:
         """Forward filtering of many short segments together: all walk the trie a character at a time, then sums pass from position to position."""
         plain = [s for s in segments if len(s) <= KEPT_CHARS and self.pieces.single.issuperset(s)]
@@ -175,6 +176,8 @@ class Lattices:
         run = np.minimum(run, 1.0)
         run[final] = 1.0
         base = self.nodes
+        into = np.bincount(target, minlength=len(codes) + len(plain))
+        self.begin.frombytes((len(self.cut) + np.cumsum(into) - into).tobytes())
         self.cut.frombytes((base + target + run).tobytes())
         self.source.frombytes((base + source).tobytes())
         self.id.frombytes(pieces.state_id[state].tobytes())
@@ -196,45 +199,68 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Sampler:
     def __init__(self, path: str, seed: int = SEED, alpha: float = ALPHA) -> None:
         self.lattices = Lattices(Pieces(path, alpha))
+        self.before = Lattices(self.lattices.pieces)
         self.seed = np.uint64(seed)
 
+    def _filtered(self, distinct: set[str]) -> tuple[list[Lattices], dict[str, int]]:
+        """The stores that hold the segments, and each segment's place: its number times their number plus the store's."""
+        pieces = self.lattices.pieces
+        new = lambda: [s for s in distinct if s not in self.lattices.segments and s not in self.before.segments]
+        fresh = new()
+        if len(self.lattices.segments) + len(fresh) > STORE_SEGMENTS:
+            self.before, self.lattices = self.lattices, Lattices(pieces)
+            fresh = new()
+        aside = Lattices(pieces)
+        self.lattices.add_all([s for s in fresh if len(s) <= KEPT_CHARS])
+        aside.add_all([s for s in fresh if len(s) > KEPT_CHARS])
+        stores = [self.lattices, self.before, aside]
+        return stores, {s: number * len(stores) + k for k, store in enumerate(stores) for s in distinct & store.segments.keys() for number in (store.segments[s],)}
+
     def sample(self, rows: list[tuple[int | None, str]]) -> list[np.ndarray]:
         """The piece ids of each (key, text). A leading blank is added, as the model's own normalization does; empty texts have no pieces."""
         split = [SEGMENT.findall(" " + text) if text else [] for _, text in rows]
-        lattices = self.lattices
-        fresh = set().union(*split).difference(lattices.segments) if split else set()
-        if len(lattices.segments) + len(fresh) > STORE_SEGMENTS or any(len(s) > KEPT_CHARS for s in lattices.segments.keys() & self.long):
-            lattices.clear()
-            fresh = set().union(*split)
-        self.long = {s for s in fresh if len(s) > KEPT_CHARS}
-        lattices.add_all(list(fresh))
-        cut, source, ids = np.frombuffer(lattices.cut, "d"), np.frombuffer(lattices.source, "q"), np.frombuffer(lattices.id, "i")  # views, gone before the store grows
+        stores, places = self._filtered(set().union(*split))
         counts = np.array([len(s) for s in split], "int64")
         n = int(counts.sum())
-        which = np.fromiter((u for s in split for u in map(lattices.segments.__getitem__, s)), "int64", n)
+        which = np.fromiter((u for s in split for u in map(places.__getitem__, s)), "int64", n)
         keys = _mixed(np.array([(k or 0) & 0xFFFFFFFFFFFFFFFF for k, _ in rows], "uint64") ^ _mixed(np.array([self.seed])))
         place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         state = _mixed(np.repeat(keys, counts) + place.astype("uint64") * np.uint64(0x9E3779B97F4A7C15))
-        first = np.frombuffer(lattices.first, "q")[which] if n else np.zeros(0, "int64")
-        node = np.frombuffer(lattices.last, "q")[which] if n else np.zeros(0, "int64")
-        live, steps, length = np.arange(n), [], np.zeros(n, "int64")
-        for step in range(1, 1 << 40):
-            live = live[node[live] > first[live]] if step == 1 else live[node[live] != first[live]]
-            if not len(live):
-                break
-            u = (_mixed(state[live] + np.uint64(step * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)).astype("d") * 2.0**-52
-            edge = np.searchsorted(cut, np.minimum(node[live] + u, np.nextafter(node[live] + 1.0, 0.0)), side="right")
-            node[live] = source[edge]
-            length[live] += 1
-            steps.append((live, ids[edge]))
+        length, steps = np.zeros(n, "int64"), []
+        for k, store in enumerate(stores):
+            units = np.flatnonzero(which % len(stores) == k)
+            if len(units):
+                self._drawn(store, units, which[units] // len(stores), state[units], length, steps)
         ends = np.cumsum(length)
         out = np.zeros(int(ends[-1]) if n else 0, "int32")
-        for k, (where, found) in enumerate(steps):
-            out[ends[where] - 1 - k] = found
+        for step, where, found in steps:
+            out[ends[where] - step] = found
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])] if n else np.zeros(len(rows) + 1, "int64")
         return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
-    long: set[str] = frozenset()
+    @staticmethod
+    def _drawn(store: Lattices, units: np.ndarray, segment: np.ndarray, state: np.ndarray, length: np.ndarray, steps: list) -> None:
+        """Backward sampling of the units (segments of one store), all a piece at a time: adds (step, units, pieces) to steps and counts pieces in length."""
+        cut, source, ids, begin = np.frombuffer(store.cut, "d"), np.frombuffer(store.source, "q"), np.frombuffer(store.id, "i"), np.frombuffer(store.begin, "q")  # views, gone before the store grows
+        first, node = np.frombuffer(store.first, "q")[segment], np.frombuffer(store.last, "q")[segment]
+        live = np.flatnonzero(node > first)
+        units, state, first, node = units[live], state[live], first[live], node[live]
+        for step in range(1, 1 << 40):
+            if not len(units):
+                return
+            u = (_mixed(state + np.uint64(step * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12)).astype("d") * 2.0**-52
+            drawn = np.minimum(node + u, np.nextafter(node + 1.0, 0.0))
+            edge = begin[node]
+            more = np.flatnonzero(cut[edge] <= drawn)
+            while len(more):  # a node has few edges, and the first ones, of the longest pieces, are the likeliest
+                edge[more] += 1
+                more = more[cut[edge[more]] <= drawn[more]]
+            node = source[edge]
+            length[units] += 1
+            steps.append((step, units, ids[edge]))
+            live = np.flatnonzero(node != first)
+            if len(live) < len(units):
+                units, state, first, node = units[live], state[live], first[live], node[live]
 
 
 def encode_sampled(documents: DataFrame, path: str | None = None, seed: int = SEED, alpha: float = ALPHA, keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
@@ -244,7 +270,7 @@ def encode_sampled(documents: DataFrame, path: str | None = None, seed: int = SE
     With decoded, a column of that name holds the text that the pieces decode to, made by the same worker.
     """
     path = path or public_tokenizers.path(MODEL)
-    docs = texts(documents, *keep)
+    docs = spread(texts(documents, *keep))
     more = [T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
