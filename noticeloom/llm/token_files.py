@@ -16,6 +16,7 @@ import array
 import hashlib
 import itertools
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from noticeloom.llm.common import new_path, partitions, table, texts
+from noticeloom.llm.common import discard, materialize, new_path, shuffles_dropped, spread, table, texts
 from noticeloom.llm.token_counts import SIMPLE_BELOW, _byte_alphabet, _letters_class
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,7 +40,9 @@ DICTIONARY_BYTES = 65_536
 #: A block is closed at so many bytes or documents.
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCUMENTS = 4096
-#: Pre-tokens whose ids a worker remembers; the table is emptied when full.
+#: Bytes of frames in a shard.
+SHARD_BYTES = 16 << 20
+#: Pre-tokens whose ids a worker remembers in a table; a full one is kept beside the next until that is full too.
 MEMO_ENTRIES = 400_000
 PIECES = 200_000
 
@@ -51,12 +54,17 @@ class Merged(dict):
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.merge, self.shown = tokenizer.model.tokenize, str.maketrans({chr(b): c for c, b in _byte_alphabet().items()})
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO_ENTRIES:
+            self.before = dict(self)
             self.clear()
-        ids = self[word] = array.array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = array.array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.shown))]).tobytes()
+        self[word] = ids
         return ids
 
 
@@ -91,14 +99,15 @@ class Encoder:
 
 
 def train_dictionary(documents: DataFrame, path: str) -> DataFrame:
-    """One row (dict_hash, content); content is empty where the sample is too small to train on."""
+    """One row (dict_hash, content). Content is empty, with a warning in the task's log, where zstandard finds the sample too small or too uniform to train on."""
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path)
         samples = [encoder.encode(t) for b in batches for t in b["text"]]
         try:
             content = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) > 20 else b""
-        except zstandard.ZstdError:
+        except zstandard.ZstdError as refusal:
+            warnings.warn(f"no dictionary from {len(samples)} samples: {refusal}", stacklevel=1)
             content = b""
         yield pd.DataFrame({"dict_hash": [hashlib.sha256(content).hexdigest()], "content": [content]})
 
@@ -110,8 +119,9 @@ def train_dictionary(documents: DataFrame, path: str) -> DataFrame:
 def write_token_files(documents: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Writes the ids of every text, each with end_id after it, in ascending doc_id order.
 
-    An empty or null text gives end_id alone. Rows with the same doc_id follow each other, ordered by text; a null
-    doc_id comes first. Without rows the tables are empty.
+    Texts are encoded and compressed where they lie, and only their frames are put in order. An empty or null text gives
+    end_id alone. Rows with the same doc_id follow each other, ordered by their frames; a null doc_id comes first. A very
+    long text is one frame. Without rows the tables are empty. Other columns play no part.
     """
     spark = documents.sparkSession
     path = path or public_tokenizers.path(VOCABULARY)
@@ -120,35 +130,54 @@ def write_token_files(documents: DataFrame, folder: str, path: str | None = None
     trained = spark.read.schema("dict_hash string, content binary").parquet(f"{folder}/dictionary").first()  # one row of bounded size
     dict_hash, content = (trained.dict_hash, bytes(trained.content)) if trained else (hashlib.sha256(b"").hexdigest(), b"")
     end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_doc_id", pa.int64()), ("last_doc_id", pa.int64()), ("ids_before", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content)) if content else zstandard.ZstdCompressor(level=3)
-        number, before = 0, 0
+        for batch in batches:
+            counts, found = [], []
+            for text in batch["text"]:
+                raw = encoder.encode(text.as_py()) + end
+                counts.append(len(raw) // 4)
+                found.append(compressor.compress(raw))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_ids", "frame"])
+
+    scratch = new_path(spark, "token-frames")
+    framed = materialize(spread(docs).mapInArrow(frames, "doc_id long, n_ids long, frame binary"), "token-frames", scratch)
+    shards = max(1, -(-(framed.agg(F.sum(F.octet_length("frame").cast("long"))).first()[0] or 0) // SHARD_BYTES))
+    ordered = framed.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "frame").withColumn("shard", F.spark_partition_id())
+    with shuffles_dropped(spark):
+        ordered.mapInArrow(_blocks(dict_hash), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    discard(spark, scratch)
+
+
+def _blocks(dict_hash: str):
+    """Frames in order to blocks."""
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_doc_id", pa.int64()), ("last_doc_id", pa.int64()), ("ids_before", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, before, size, shard = 0, 0, 0, 0
         ids, counts, frames = [], [], []
 
-        def block(shard: int) -> pa.RecordBatch:
-            row = [shard, number, ids[0], ids[-1], before, dict_hash, ids, counts, [0, *itertools.accumulate(map(len, frames))], b"".join(frames)]
+        def block() -> pa.RecordBatch:
+            known = [i for i in ids if i is not None]
+            row = [shard, number, min(known, default=None), max(known, default=None), before, dict_hash, ids, counts, [0, *itertools.accumulate(map(len, frames))], b"".join(frames)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
 
-        size, shard = 0, 0
         for batch in batches:
-            for doc_id, text, shard in zip(batch["doc_id"].to_pylist(), batch["text"], batch["shard"].to_pylist()):
-                raw = encoder.encode(text.as_py()) + end
-                frames.append(compressor.compress(raw))
+            for doc_id, n, frame, shard in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_ids", "frame", "shard"))):
+                frames.append(frame)
                 ids.append(doc_id)
-                counts.append(len(raw) // 4)
-                size += len(frames[-1])
+                counts.append(n)
+                size += len(frame)
                 if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCUMENTS:
-                    yield block(shard)
+                    yield block()
                     before += sum(counts)
                     number, size, ids, counts, frames = number + 1, 0, [], [], []
         if ids:
-            yield block(shard)
+            yield block()
 
-    ordered = docs.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    return blocks
 
 
 def _decompressors(folder: str, spark: SparkSession) -> dict[str, bytes]:
@@ -191,8 +220,9 @@ def fetch_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> Dat
     holds = F.exists(F.array(*map(F.lit, wanted)), lambda x: x.between(F.col("first_doc_id"), F.col("last_doc_id"))) if wanted else F.lit(False)
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = {h: _opened(h, dictionaries) for h in dictionaries}
         for batch in batches:
-            rows = [(d, np.frombuffer(_opened(b.dict_hash, dictionaries).decompress(b.payload[b.offsets[i] : b.offsets[i + 1]]), "<u4").astype("int64")) for b in batch.itertuples() for i, d in enumerate(b.doc_ids) if d in wanted]
+            rows = [(d, np.frombuffer(opened[b.dict_hash].decompress(b.payload[b.offsets[i] : b.offsets[i + 1]]), "<u4").astype("int64")) for b in batch.itertuples() for i, d in enumerate(b.doc_ids) if d in wanted]
             yield pd.DataFrame(rows, columns=["doc_id", "ids"])
 
     return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where(holds).mapInPandas(frames, "doc_id long, ids array<long>")
