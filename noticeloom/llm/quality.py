@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import materialize, table, texts
+from noticeloom.llm.common import materialize, spread, table, texts
 
 #: Labelled rows that the fit sees, about; beyond that, those with the least hash of their doc_id.
 TRAIN_ROWS = 12_000
@@ -28,10 +28,11 @@ COST = 1.0
 EPOCHS = 12
 SEED = 7
 THRESHOLD = 0.7
-#: Words that are looked at together, so that a very long text needs no list of all its words.
+#: Characters, up to the next blank, whose words are looked at together, so that a very long text needs no list of all its words.
 BLOCK_CHARS = 1 << 20
 
 _RUNS = re.compile("([aA0])\\1+")
+_BLANK = re.compile(r"\s")
 
 
 def _shape_table() -> dict[int, str]:
@@ -46,8 +47,12 @@ def indicators(text: str) -> set[str]:
     """The n-grams of a whole text. An empty text has none."""
     found: set[str] = set()
     before_word, before_shape = "", "^"
-    for begin in range(0, len(text), BLOCK_CHARS):  # a word at a border may count as two
-        words = text[begin : begin + BLOCK_CHARS].split()
+    end = 0
+    while end < len(text):
+        begin = end
+        blank = _BLANK.search(text, begin + BLOCK_CHARS)  # a block ends between words
+        end = blank.start() if blank else len(text)
+        words = text[begin:end].split()
         shapes = _RUNS.sub("\\1", " ".join(words).translate(_SHAPES)).split(" ") if words else []
         shapes = ["=" if w == b else s for s, w, b in zip(shapes, words, [before_word, *words])]
         found.update(words)
@@ -159,7 +164,7 @@ def held_out(doc_id: Column) -> Column:
 def rated(documents: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     """doc_id, held_out, score, predicted and the columns of keep for each row of documents; the fit takes the labels outside the held-out fold."""
     model = train(documents, labels.where(~held_out(F.col("doc_id"))))
-    return documents.select("doc_id", *keep, held_out(F.col("doc_id")).alias("held_out"), score(F.coalesce(documents["text"], F.lit("")), model).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return spread(documents.select("doc_id", *keep, "text")).select("doc_id", *keep, held_out(F.col("doc_id")).alias("held_out"), score(F.coalesce("text", F.lit("")), model).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

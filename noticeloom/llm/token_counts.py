@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers
 
-from noticeloom.llm.common import table, texts
+from noticeloom.llm.common import spread, table, texts
 
 VOCABULARY = "word_bpe_49k.json"
 #: Merged counts that a worker remembers; the table is emptied when full.
@@ -127,5 +127,5 @@ def token_count(text: Column, path: str | None = None) -> Column:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(table(spark, sf_dir, "documents"))
+    docs = spread(texts(table(spark, sf_dir, "documents")))
     return docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), token_count(F.col("text")).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > 2048)
