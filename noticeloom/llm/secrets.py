@@ -28,8 +28,9 @@ MARKOV = r"[A-Za-z0-9+/_-]+"
 MARKOV_LEAST = 20
 #: A run is a secret from this sum of log ratios on.
 THRESHOLD = 8.0
-#: Training rows of each label at most (those with the least hash), and the documents of least hash they come from.
+#: Training rows of each label at most (those with the least hash), and about how many documents they come from: random ones, ordinary ones.
 SAMPLE_ROWS = 20_000
+RANDOM_DOCUMENTS = 20_000
 SAMPLE_DOCUMENTS = 2_000
 #: Weight of a character's own share in its transitions.
 PRIOR = 8.0
@@ -73,13 +74,19 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def labelled_samples(documents: DataFrame) -> DataFrame:
-    """(value, random): what the fixed patterns find is random; runs of six and more in a bounded sample of documents without such a find are ordinary."""
+    """(value, random): what the fixed patterns find in a sample of documents is random; runs of six and more in a smaller one of documents without such a find are ordinary.
+
+    Documents are drawn by the hash of id and text against a bound that follows from their number, so about RANDOM_DOCUMENTS
+    and SAMPLE_DOCUMENTS of any table are looked at, all of a small one; equal rows are one. Of each label the SAMPLE_ROWS values of least
+    hash count. Long texts are drawn like others.
+    """
     docs = texts(documents)
+    n = docs.count()
+    drawn = lambda some: docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // some))) == 0).select("doc_id", "text").distinct()
     found = reduce(lambda a, b: F.concat(a, b), base_spans(F.col("text")))
     anything = F.col("text").rlike(ASSIGN) | F.col("text").rlike(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}") | F.col("text").rlike(rf"[0-9a-f]{{{HEX_LEAST},}}")
-    positive = docs.where(anything).select(F.explode(F.transform(found, lambda s: s["value"])).alias("value")).select("value", F.lit(True).alias("random"))
-    sample = docs.select("doc_id", F.when(~anything, F.col("text")).alias("text")).where("text is not null and octet_length(text) <= 65536").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCUMENTS)
-    negative = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_-]{6,}"), F.lit(0))).alias("value")).select("value", F.lit(False).alias("random"))
+    positive = drawn(RANDOM_DOCUMENTS).where(anything).select(F.explode(F.transform(found, lambda s: s["value"])).alias("value")).select("value", F.lit(True).alias("random"))
+    negative = drawn(SAMPLE_DOCUMENTS).where(~anything).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_-]{6,}"), F.lit(0))).alias("value")).select("value", F.lit(False).alias("random"))
     least = lambda df: df.orderBy(F.xxhash64("value"), "value").limit(SAMPLE_ROWS)
     return least(positive).unionByName(least(negative))
 
