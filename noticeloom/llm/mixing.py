@@ -49,13 +49,13 @@ b{n} AS (SELECT {keys}, share + CASE WHEN NOT filled AND turn <= over THEN 1 ELS
 
 
 ORACLE = f"""
-WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) AS BIGINT) AS n_tokens FROM documents),
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) AS BIGINT) AS n_tokens, md5(coalesce(text, '')) AS text_md5 FROM documents),
 placed AS (SELECT *, {DOMAIN} AS domain FROM docs),
 leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, CAST(sum(n_tokens) * {EPOCHS} AS HUGEINT) AS cap, max({_case("domain", DOMAIN_WEIGHTS)}) AS w1, max({_case("lang", LANG_WEIGHTS)}) AS w2, 1 AS w3 FROM placed GROUP BY domain, lang, source),
 whole AS (SELECT least(sum(cap), sum(tokens) * {BUDGET_PERCENT} // 100) AS total FROM leaf),
 {", ".join(_level_sql(n).replace("DIV(rest * w, wrest)", "rest * w // wrest") for n in (1, 2, 3))},
 taken AS (SELECT domain, lang, source, CASE WHEN tokens = 0 THEN 0 ELSE budget // tokens END AS full_epochs, CASE WHEN tokens = 0 THEN 0 ELSE budget % tokens END AS prefix FROM b3 JOIN leaf USING (domain, lang, source)),
-ordered AS (SELECT p.*, full_epochs, prefix, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || CAST(full_epochs AS BIGINT) || ':' || doc_id), doc_id) - n_tokens AS before FROM placed p JOIN taken USING (domain, lang, source))
+ordered AS (SELECT p.*, full_epochs, prefix, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || CAST(full_epochs AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, text_md5) - n_tokens AS before FROM placed p JOIN taken USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, CAST(full_epochs AS BIGINT) AS full_epochs, CAST(greatest(0, least(n_tokens, prefix - before)) AS BIGINT) AS prefix_tokens, CAST(full_epochs * n_tokens + greatest(0, least(n_tokens, prefix - before)) AS BIGINT) AS taken_tokens FROM ordered
 """
 
@@ -97,7 +97,7 @@ def mixed(documents: DataFrame, domain: str = DOMAIN, budget_percent: int = BUDG
 
     A document comes full_epochs times whole and once more with its first prefix_tokens tokens (0: not again). The last
     document of a leaf's prefix is the only one that may be cut. Null lang and source count as '', an empty text has no
-    tokens and takes part with none; documents with equal doc_ids follow each other in the order. Weights are whole
+    tokens and takes part with none; documents with equal doc_ids follow each other in the order, by the hash of their texts. Weights are whole
     numbers; up to 10 ** 18 tokens in all.
 
     A leaf may hold any share of the rows: its prefix is found from sums over about the square root of its number of
@@ -107,7 +107,7 @@ def mixed(documents: DataFrame, domain: str = DOMAIN, budget_percent: int = BUDG
     carried = [F.struct(*(F.col(c) for c in keep)).alias("kept")] if keep else []
     rows = documents.select("doc_id", "text", "lang", "source", *carried)
     own = ["kept"] if keep else []
-    docs = texts(rows, "lang", "source", *own).select("doc_id", *own, *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), word_count.alias("n_tokens"))
+    docs = texts(rows, "lang", "source", *own).select("doc_id", *own, *(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), word_count.alias("n_tokens"), F.md5("text").alias("text_md5"))
     docs = materialize(docs.withColumn("domain", F.expr(domain)), "token-counts")
     sums = docs.groupBy(*TREE).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     leaves = materialize(sums.select("*", (F.col("tokens") * epochs).alias("cap"), F.expr(_case("domain", domain_weights)).alias("w1"), F.expr(_case("lang", lang_weights)).alias("w2"), F.lit(1).alias("w3")), "leaves")
@@ -123,7 +123,7 @@ def mixed(documents: DataFrame, domain: str = DOMAIN, budget_percent: int = BUDG
     before = F.sum("slice_tokens").over(Window.partitionBy(*TREE).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slice_tokens")
     starts = materialize(totals.withColumn("slice_before", before).select(*keys, "slice_before", ((F.col("slice_before") < F.col("prefix")) & (F.col("prefix") < F.col("slice_before") + F.col("slice_tokens"))).alias("ends_here")), "slices")
     placed = placed.join(starts, keys)
-    inside = F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    inside = F.sum("n_tokens").over(Window.partitionBy(*keys).orderBy("place", "doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     cut = placed.where("ends_here").withColumn("prefix_tokens", F.greatest(F.lit(0), F.least("n_tokens", F.col("prefix") - F.col("slice_before") - inside)))
     uncut = placed.where("not ends_here").withColumn("prefix_tokens", F.when(F.col("slice_before") < F.col("prefix"), F.col("n_tokens")).otherwise(0))
     rows = cut.unionByName(uncut)
