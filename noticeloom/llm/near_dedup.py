@@ -6,11 +6,11 @@ sequence. Documents that share a sketch are aligned word by word within a band o
 similarity of 0.8 or more. Classes are the connected components of the links.
 
 Exact copies are one node. A bucket (documents that share a sketch) first compares all members with its least member.
-Where that leaves several components, buckets of up to SMALL members are compared in full; the members of larger ones get
-longer sketches, up to the last length, which only joins what is easily joined. The buckets of the first length that still
-hold several components are then compared in full too, in pairs of blocks: no two texts that share a sketch stay untested
-unless a chain of links joins them or exact bounds on edits rule a link out. What does not join costs the square of its
-number in a bucket, in bounds that are cheap to compute.
+Where that leaves several components, buckets of up to SMALL members are compared in full. Larger ones mostly hold texts
+that share a passage and little else. Their members meet again by their rarest word pairs: an edit changes two word pairs
+at most, so texts with few enough edits share one of so many of their rarest, whatever else they share. Members that share
+one and are in different components are compared in full, in pairs of blocks where there are many. No two texts that share
+a sketch stay untested unless a chain of links joins them or exact bounds on edits rule a link out.
 """
 
 from __future__ import annotations
@@ -28,12 +28,18 @@ from noticeloom.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 16
-KMERS = (2, 8, 32)
+BANDS = 32
+#: K-mers of a sketch.
+KMERS = (2,)
 SMALL = 24
+#: Buckets of rare word pairs whose members are paired where they lie, and the number of such buckets that two texts must share; members of larger ones are compared in blocks.
+MIDDLE = 256
+SHARED = 4
 #: Rows of a large bucket that are compared with as many others in one group.
 BLOCK = 256
 SEED = 3
+#: Edits of the widest band.
+NARROW = 32
 #: Characters of the pairs that are aligned together.
 PAIR_CHARS = 1 << 24
 #: Elements of the alignment tables that are filled together.
@@ -58,11 +64,7 @@ def sketch(hashes: np.ndarray, size: int = KMERS[0], bands: int = BANDS) -> np.n
     kmers = np.zeros(len(h) - k + 1, "uint64")
     for i in range(k):
         kmers = _mixed(kmers * np.uint64(31) + h[i : len(h) - k + 1 + i])
-    order = np.argsort(kmers, kind="stable")
-    new = np.flatnonzero(np.append(True, kmers[order][1:] != kmers[order][:-1]))
-    occurrence = np.empty(len(kmers), "uint64")
-    occurrence[order] = np.arange(len(kmers)) - np.repeat(new, np.diff(np.append(new, len(kmers))))
-    labelled = _mixed(kmers + occurrence * np.uint64(0x9E3779B97F4A7C15))
+    labelled = _mixed(kmers + _occurrences(kmers) * np.uint64(0x9E3779B97F4A7C15))
     seeds = _mixed(np.arange(1, bands + 1, dtype="uint64") + np.uint64(SEED << 32))
     ranked = _mixed(labelled[None, :] ^ seeds[:, None])
     many = min(size, len(labelled))
@@ -107,8 +109,37 @@ def _filled(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, band: in
     return out
 
 
+def _within(x: np.ndarray, y: np.ndarray, allowed: int) -> bool:
+    """Whether x becomes y in `allowed` edits, by Myers' bit vectors: a column of the alignment is two whole numbers, of one bit a row."""
+    n = len(x)
+    if not n:
+        return len(y) <= allowed
+    matches: dict[int, int] = {}
+    for i, word in enumerate(x.tolist()):
+        matches[word] = matches.get(word, 0) | 1 << i
+    every, last = (1 << n) - 1, 1 << n >> 1
+    up, down, edits = every, 0, n
+    for left, word in enumerate(y.tolist(), 1 - len(y)):
+        same = matches.get(word, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        more, fewer = down | ~(level | up), up & level
+        if more & last:
+            edits += 1
+        elif fewer & last:
+            edits -= 1
+        if edits + left > allowed:  # each word to come takes away one at most
+            return False
+        more, fewer = more << 1 | 1, fewer << 1
+        up, down = (fewer | ~(level | more)) & every, more & level & every
+    return edits <= allowed
+
+
 def similar(pairs: list[tuple[list[str], list[str]]], least: float = SIMILARITY) -> np.ndarray:
-    """Whether the edit similarity of the words, 1 - edits / longer length, is `least` or more; bands double until they decide."""
+    """Whether the edit similarity of the words, 1 - edits / longer length, is `least` or more.
+
+    Pairs are aligned along bands of up to NARROW edits together. What these leave open, or what has more edits for certain,
+    is aligned by bit vectors, pair by pair, so that a text of very many words costs its square over the bits of a machine word.
+    """
     result = np.zeros(len(pairs), bool)
     waiting = []
     for i, (a, b) in enumerate(pairs):
@@ -122,6 +153,9 @@ def similar(pairs: list[tuple[list[str], list[str]]], least: float = SIMILARITY)
         shared = np.minimum(np.bincount(x, minlength=len(codes)), np.bincount(y, minlength=len(codes))).sum() if codes else 0
         if longer - shared > allowed:
             continue
+        if longer - shared > NARROW:
+            result[i] = _within(x, y, allowed)
+            continue
         waiting.append((i, x, y, allowed))
     band = 8
     while waiting:
@@ -147,6 +181,10 @@ def similar(pairs: list[tuple[list[str], list[str]]], least: float = SIMILARITY)
                 elif band < w[3] and edits > band:
                     rest.append(w)
         waiting, band = rest, band * 4
+        if band > NARROW:
+            for i, x, y, allowed in waiting:
+                result[i] = _within(x, y, allowed)
+            break
     return result
 
 
@@ -164,41 +202,95 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(text("b", "y"), "b").join(text("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
-def _rooted(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """The links (a, b) with the roots ra and rb that their nodes have by now."""
-    root = lambda key, name: labels.select(F.col("node").alias(key), F.col("root").alias(name))
-    return links.join(root("a", "ra"), "a").join(root("b", "rb"), "b").where("ra <> rb")
+def rare_pairs(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n): each row (node, text) of n words under those of its rarest word pairs that another row has too; rare is what few rows have.
 
+    Of a text's pairs, counted with their occurrences and the borders of the text, so many come that two texts whose edit
+    similarity is SIMILARITY or more share SHARED buckets at least, or all the pairs they have to share if these are fewer.
+    """
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are not in one component yet."""
-    return _rooted(pairs, labels).select("a", "b")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = batch["words"].values.to_numpy(zero_copy_only=False), batch["words"].offsets.to_numpy()
+            parts = [_labelled(np.append(values[a:b], np.int64(0)).astype("uint64"), np.append(np.int64(0), values[a:b]).astype("uint64")) for a, b in zip(offsets[:-1], offsets[1:])]
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("int32")
+            grams = np.concatenate(parts).astype("int64") if parts else np.zeros(0, "int64")
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(pa.array(ends), pa.array(grams))], names=["node", "grams"])
+
+    listed = nodes.select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).mapInArrow(of, "node long, grams array<long>")
+    each = materialize(listed.select("node", F.explode("grams").alias("bucket")), "word-pairs")
+    common = each.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
+    ranked = each.join(common, "bucket", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "bucket"))).alias("pairs"))
+    n = F.size("pairs") - 1
+    first = F.slice("pairs", 1, (2 * _allowed(n) + 2 + SHARED).cast("int"))
+    return ranked.select("node", n.alias("n"), F.explode(first).alias("p")).where("p.rows > 1").select(F.col("p.bucket").alias("bucket"), "node", "n")
+
+
+def _allowed(n: Column) -> Column:
+    """Edits that texts of n words at most may have."""
+    return F.floor(n * (1 - SIMILARITY) + 1e-9)
+
+
+def _rare_candidates(open_: DataFrame) -> DataFrame:
+    """The pairs (a, b), a > b, of different labels that share enough buckets of up to MIDDLE members and are of like length."""
+    mine = open_.where(F.col("size") <= MIDDLE).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    other = mine.select("bucket", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("la").alias("lb"))
+    longer = F.greatest("na", "nb")
+    near = F.abs(F.col("na") - F.col("nb")) <= _allowed(longer)
+    met = mine.join(other, "bucket").where((F.col("a") > F.col("b")) & (F.col("la") != F.col("lb")) & near)
+    return met.groupBy("a", "b", longer.alias("n")).agg(F.count("*").alias("shared")).where(F.col("shared") >= F.least(F.lit(SHARED), F.col("n") + 1 - 2 * _allowed(F.col("n")))).select("a", "b")
+
+
+def _labelled(after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes of pairs with the number of their occurrence."""
+    pairs = _mixed(_mixed(before * np.uint64(31) + np.uint64(7)) + after)
+    return _mixed(pairs + _occurrences(pairs) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _occurrences(values: np.ndarray) -> np.ndarray:
+    """How many equal values come before each."""
+    order = np.argsort(values, kind="stable")
+    new = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1]))
+    out = np.empty(len(values), "uint64")
+    out[order] = np.arange(len(values)) - np.repeat(new, np.diff(np.append(new, len(values))))
+    return out
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (bucket, node, size and others) with their label, of buckets that hold several labels."""
+    named = materialize(members.join(roots, "node", "left").select(*members.columns, F.coalesce("root", "node").alias("label")), "labelled")
+    spread = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
+    return materialize(named.join(materialize(spread, "spread"), "bucket", "left_semi"), "open")
+
+
+def _pairs_apart(open_: DataFrame) -> DataFrame:
+    """The pairs (a, b), a > b, of different labels in buckets of up to SMALL members."""
+    mine = open_.where(F.col("size") <= SMALL)
+    other = mine.select(F.col("bucket").alias("bucket2"), F.col("node").alias("b"), F.col("label").alias("lb"))
+    return mine.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("node") > F.col("b")) & (F.col("label") != F.col("lb"))).select(F.col("node").alias("a"), "b").distinct()
 
 
-def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """Labels after new links, one step of merging: nodes may still differ that later steps would join, which only costs comparisons."""
-    merged = materialize(_rooted(found, labels).groupBy(F.greatest("ra", "rb").alias("old")).agg(F.min(F.least("ra", "rb")).alias("low")), "merged")
-    return materialize(labels.join(merged, labels["root"] == merged["old"], "left").select("node", F.coalesce("low", "root").alias("root")), "labels")
+def _numbered(values: list[np.ndarray]) -> np.ndarray:
+    """The values of all texts, one text after the other, numbered so that the nth of a value in one text equals the nth in another."""
+    every = np.unique(np.concatenate(values), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    order = np.lexsort((every, row))
+    new = np.flatnonzero(np.append(True, (np.diff(every[order]) != 0) | (np.diff(row[order]) != 0)))[: len(order)]
+    occurrence = np.empty(len(every), "int64")
+    occurrence[order] = np.arange(len(every)) - np.repeat(new, np.diff(np.append(new, len(every))))
+    return np.unique(every * (occurrence.max(initial=0) + 1) + occurrence, return_inverse=True)[1]
 
 
 def _links_across(group: pd.DataFrame) -> pd.DataFrame:
     """The links between the blocks of one group, whose rows are (i, j, own, node, label, text, lower): every pair of rows of different blocks,
-    or of one block if i = j, is aligned unless it is joined by then, is handled in a lower bucket, or has lengths or too few shared word
-    pairs that rule a link out (an edit changes two of the word pairs at most).
+    or of one block if i = j, is aligned unless it is joined by then, is handled in a lower bucket, or has lengths or too few shared words
+    or word pairs that rule a link out (an edit changes one word and two of the word pairs at most).
     """
     nodes, split, lower = group["node"].to_numpy(), [t.lower().split() for t in group["text"]], [set(x) for x in group["lower"]]
     codes: dict[str, int] = {}
     padded = [np.array([0, *(codes.setdefault(w, len(codes) + 1) for w in ws), 0], "int64") for ws in split]
     lengths = np.array([len(ws) for ws in split])
-    grams = np.unique(np.concatenate([x[:-1] * (len(codes) + 1) + x[1:] for x in padded]), return_inverse=True)[1]
-    row = np.repeat(np.arange(len(split)), lengths + 1)
-    order = np.lexsort((grams, row))
-    new = np.flatnonzero(np.append(True, (np.diff(grams[order]) != 0) | (np.diff(row[order]) != 0)))
-    occurrence = np.empty(len(grams), "int64")
-    occurrence[order] = np.arange(len(grams)) - np.repeat(new, np.diff(np.append(new, len(grams))))
-    ids = np.unique(grams * (occurrence.max() + 1) + occurrence, return_inverse=True)[1]
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    of = lambda k: ids[starts[k] : starts[k + 1]]
+    kinds = [(_numbered([x[1:-1] for x in padded]), lengths), (_numbered([x[:-1] * (len(codes) + 1) + x[1:] for x in padded]), lengths + 1)]
 
     up = np.unique(group["label"], return_inverse=True)[1]
     one = group["i"].iloc[0] == group["j"].iloc[0]
@@ -206,20 +298,26 @@ def _links_across(group: pd.DataFrame) -> pd.DataFrame:
     right = left if one else np.flatnonzero(group["own"] == group["j"])
     found: list[tuple[int, int]] = []
     if len(right):
-        theirs, at = np.concatenate([of(k) for k in right]), np.concatenate([[0], np.cumsum(lengths[right] + 1)[:-1]])
-        mark, pairs, shares = np.zeros(len(ids), "int32"), [], []
+        pairs, shares = [], []
+        tables = [(ids, np.concatenate([[0], np.cumsum(n)]), np.zeros(len(ids) + 1, "int32")) for ids, n in kinds]
+        theirs = [np.concatenate([np.append(ids[at[k] : at[k + 1]], len(ids)) for k in right]) for ids, at, _ in tables]  # each with an end that nothing marks
+        begins = [np.concatenate([[0], np.cumsum(n[right] + 1)[:-1]]) for _, n in kinds]
         for place, a in enumerate(left):
-            mark[of(a)] = 1
-            shared, longer = np.add.reduceat(mark[theirs], at), np.maximum(lengths[right], lengths[a])
-            mark[of(a)] = 0
+            shared = []
+            for (ids, at, mark), other, begin in zip(tables, theirs, begins):
+                own = ids[at[a] : at[a + 1]]
+                mark[own] = 1
+                shared.append(np.add.reduceat(mark[other], begin))
+                mark[own] = 0
+            longer = np.maximum(lengths[right], lengths[a])
             allowed = (longer * (1 - SIMILARITY) + 1e-9).astype("int64")
-            may = (up[right] != up[a]) & (np.abs(lengths[right] - lengths[a]) <= allowed) & (shared >= longer + 1 - 2 * allowed)
+            may = (up[right] != up[a]) & (np.abs(lengths[right] - lengths[a]) <= allowed) & (shared[0] >= longer - allowed) & (shared[1] >= longer + 1 - 2 * allowed)
             if one:
                 may[: place + 1] = False
             for k in np.flatnonzero(may):
                 if lower[a].isdisjoint(lower[right[k]]):
                     pairs.append((a, right[k]))
-                    shares.append(shared[k] / longer[k])
+                    shares.append(shared[1][k] / longer[k])
         waiting, step = np.array(pairs, "int64").reshape(-1, 2)[np.argsort(-np.array(shares), kind="stable")], 64
         while len(waiting):
             now, waiting, step = waiting[:step], waiting[step:], min(2 * step, 2048)
@@ -231,6 +329,17 @@ def _links_across(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ends[:, 1], "b": ends[:, 0]})
 
 
+def _families(large: DataFrame) -> DataFrame:
+    """(bucket, node, label): buckets that hang together by common members as one, where that is less to compare than each by itself."""
+    lead = large.groupBy("bucket").agg(F.min("node").alias("lead"))
+    roots = components(large.join(lead, "bucket").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    named = materialize(large.join(roots, "node", "left").withColumn("family", F.xxhash64(F.lit("family"), F.coalesce("root", "node"))).drop("root"), "families")
+    apart = named.groupBy("family", "bucket").agg(F.count("*").alias("m")).groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    together = named.select("family", "node").distinct().groupBy("family").agg((F.count("*") * F.count("*")).alias("together"))
+    better = materialize(together.join(apart, "family").select("family", (F.col("together") <= F.col("apart")).alias("better")), "family-sizes")
+    return materialize(named.join(better, "family").select(F.when(F.col("better"), F.col("family")).otherwise(F.col("bucket")).alias("bucket"), "node", "label").distinct(), "large")
+
+
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """The links that join labels in buckets (bucket, node, label) of any size: no pair of different labels stays untested.
 
@@ -261,46 +370,27 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     keys = materialize(docs.select("doc_id", F.sha2("text", 256).alias("key")), "keys")
     firsts = materialize(keys.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "firsts")
     present = docs.where("doc_id is not null").withColumnRenamed("doc_id", "node")
-    rows = sketches(present, KMERS[0]).join(firsts.select("node").distinct(), "node", "left_semi")
-    nodes, links, labels, wide = None, None, None, None
-    for depth, size in enumerate(KMERS):
-        rows = materialize(rows, f"sketches-{size}")
-        buckets = materialize(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1"), "buckets")
-        members = materialize(rows.join(buckets, "bucket"), "members")
-        if nodes is None:
-            nodes = materialize(present.join(materialize(members.select("node").distinct(), "wanted"), "node", "left_semi"), "candidates")
-        led = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        if labels is not None:
-            led = _apart(led, labels)
-        led = materialize(led, "pairs")
-        found = materialize(verified(led, nodes), "verified")
-        links = found if links is None else links.unionByName(found)
-        if labels is None:
-            labels = materialize(nodes.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
-        else:
-            labels = _joined(labels, found)
-        named = materialize(members.where("size > 2").join(labels, "node").select("bucket", "size", "lead", "node", F.col("root").alias("label")), "labelled")
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
-        named = materialize(named.join(materialize(open_, "spread"), "bucket", "left_semi"), "open")
-        mine = named.where((F.col("size") <= SMALL) & (F.col("node") != F.col("lead")))
-        other = mine.select(F.col("bucket").alias("bucket2"), F.col("node").alias("b"), F.col("label").alias("lb"))
-        more = mine.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("node") > F.col("b")) & (F.col("label") != F.col("lb"))).select(F.col("node").alias("a"), "b")
-        more = materialize(more.distinct().join(led, ["a", "b"], "left_anti"), "more-pairs")
-        links = links.unionByName(materialize(verified(more, nodes), "more-verified"))
-        large = materialize(named.where(F.col("size") > SMALL).select("bucket", "node", "label"), "large")
-        if depth == 0:
-            wide = large
-        if large.isEmpty():
-            break
-        if depth + 1 < len(KMERS):
-            rows = sketches(nodes.join(materialize(large.select("node").distinct(), "again"), "node", "left_semi"), KMERS[depth + 1])
-
+    rows = materialize(sketches(present, KMERS[0]).join(firsts.select("node").distinct(), "node", "left_semi"), "sketches")
+    buckets = materialize(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1"), "buckets")
+    members = materialize(rows.join(buckets, "bucket"), "members")
+    nodes = materialize(present.join(materialize(members.select("node").distinct(), "wanted"), "node", "left_semi"), "candidates")
+    led = materialize(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
+    links = materialize(verified(led, nodes), "verified")
+    open_ = _open(members.where("size > 2").drop("lead"), components(links))
+    more = materialize(_pairs_apart(open_).join(led, ["a", "b"], "left_anti"), "more-pairs")
+    links = links.unionByName(materialize(verified(more, nodes), "more-verified"))
     roots = components(links)
+    wide = open_.where(F.col("size") > SMALL)
     if not wide.isEmpty():
-        named = materialize(wide.drop("label").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label")), "relabelled")
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
-        named = materialize(named.join(materialize(open_, "spread"), "bucket", "left_semi"), "still-open")
-        roots = components(links.unionByName(materialize(_across(named, nodes), "across")))
+        again = _open(wide.drop("label"), roots).select("node").distinct()
+        pairs = materialize(rare_pairs(nodes.join(again, "node", "left_semi")), "rare-pairs")
+        sizes = materialize(pairs.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "rare-sizes")
+        open_ = _open(pairs.join(sizes, "bucket"), roots)
+        tried = led.unionByName(more)
+        few = materialize(_rare_candidates(open_).join(tried, ["a", "b"], "left_anti"), "rare-candidates")
+        few = materialize(verified(few, nodes), "rare-verified")
+        many = _across(_families(open_.where(F.col("size") > MIDDLE).drop("n")), nodes)
+        roots = components(links.unionByName(few).unionByName(materialize(many, "across")))
     named = firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
     named = materialize(named, "named")
     sized = materialize(keys.where("doc_id is not null").join(named, "key").select("doc_id", "class_id"), "sized")
