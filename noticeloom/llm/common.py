@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,10 +34,13 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; every session has to name one that all its executors share."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a new one is made if all runs in one process; a cluster has to name one that its executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("spark.checkpoint.dir is not set: operators write their intermediate tables to this shared folder")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: operators write their intermediate tables to this shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
