@@ -16,12 +16,12 @@ def dedup_by_id(t: Tables) -> DataFrame:
     return D.first_by(t.documents.select("doc_id", "text"), ["text"], "doc_id")
 
 
-@query("dedup_two_key", """WITH a AS (SELECT *, row_number() OVER (PARTITION BY n_chars ORDER BY doc_id) AS r FROM documents WHERE n_chars IS NOT NULL),
-b AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lower(replace(substring(text, 1, 40), ' ', '')), lang ORDER BY doc_id) AS r FROM a WHERE r = 1 AND lower(replace(substring(text, 1, 40), ' ', '')) <> '' AND lang <> '')
+@query("dedup_two_key", """WITH a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id) AS r FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lower(replace(text, ' ', '')), lang ORDER BY doc_id) AS r FROM a WHERE r = 1 AND lower(replace(text, ' ', '')) <> '' AND lang <> '')
 SELECT doc_id, lang, n_chars FROM b WHERE r = 1""")
 def dedup_two_key(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "lang", "n_chars", X.normalize_text(F.substring("text", 1, 40)).alias("norm"))
-    return D.two_key(rows, "n_chars", ["norm", "lang"], "doc_id").select("doc_id", "lang", "n_chars")
+    rows = t.documents.select("doc_id", "lang", "n_chars", X.normalize_text(F.col("text")).alias("norm"))
+    return D.two_key(rows, "doc_id", ["norm", "lang"], "doc_id").select("doc_id", "lang", "n_chars")
 
 
 @query("dedup_across_lists", "SELECT role, min(conv_id) AS conv_id FROM (SELECT conv_id, role || '-' || turn AS role FROM conversations) GROUP BY role")

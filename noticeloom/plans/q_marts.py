@@ -170,10 +170,10 @@ def card_tags(t: Tables) -> DataFrame:
     return placed(t).select("o_orderkey", F.array_join(tags, "|").alias("tags"))
 
 
-@query("card_view", "SELECT d.doc_id, coalesce('q' || l.quality, 'no info') AS budget, coalesce(lang, 'needs check') AS due, coalesce(nullif(substring(text, 1, 30), ''), 'no description') AS description FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("card_view", "SELECT d.doc_id, coalesce('q' || l.quality, 'no info') AS budget, coalesce(lang, 'needs check') AS due, coalesce(nullif(text, ''), 'no description') AS description FROM documents d LEFT JOIN labels l USING (doc_id)")
 def card_view(t: Tables) -> DataFrame:
     rows = t.documents.join(t.labels, "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.concat(F.lit("q"), F.col("quality").cast("string")), F.lit("no info")).alias("budget"), F.coalesce("lang", F.lit("needs check")).alias("due"), F.coalesce(F.nullif(F.substring("text", 1, 30), F.lit("")), F.lit("no description")).alias("description"))
+    return rows.select("doc_id", F.coalesce(F.concat(F.lit("q"), F.col("quality").cast("string")), F.lit("no info")).alias("budget"), F.coalesce("lang", F.lit("needs check")).alias("due"), F.coalesce(F.nullif("text", F.lit("")), F.lit("no description")).alias("description"))
 
 
 @query("original_text", "SELECT p_partkey, nullif(p_name, replace(p_name, 'red', 'rot')) AS original FROM part")

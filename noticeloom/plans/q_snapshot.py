@@ -68,9 +68,9 @@ def notify_outbox(t: Tables) -> DataFrame:
     return capped.withColumn("rank", F.row_number().over(Window.orderBy("ts", "event_id"))).select("event_id", "text", "rank")
 
 
-@query("run_log", "SELECT event_type AS source_code, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, substring('rows from ' || min(ts) || ' to ' || max(ts), 1, 10) AS detail, count(*) AS n FROM events GROUP BY event_type")
+@query("run_log", "SELECT event_type AS source_code, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, substring('rows from ' || min(ts) || ' to ' || max(ts), 1, 200) AS detail, count(*) AS n FROM events GROUP BY event_type")
 def run_log(t: Tables) -> DataFrame:
-    detail = F.substring(F.concat(F.lit("rows from "), F.min("ts").cast("string"), F.lit(" to "), F.max("ts").cast("string")), 1, 10)
+    detail = F.substring(F.concat(F.lit("rows from "), F.min("ts").cast("string"), F.lit(" to "), F.max("ts").cast("string")), 1, 200)
     rows = t.events.groupBy(F.col("event_type").alias("source_code")).agg(detail.alias("detail"), F.count("*").alias("n"))
     return rows.select("source_code", F.when(F.col("source_code") == "error", "failed").otherwise("ok").alias("status"), "detail", "n")
 
