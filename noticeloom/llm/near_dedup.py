@@ -57,6 +57,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _least(ranked: np.ndarray, many: int) -> np.ndarray:
+    """The places of the `many` least mixed values of each row, ascending; overwrites ranked."""
+    ranked ^= ranked >> np.uint64(30)
+    ranked *= np.uint64(0xBF58476D1CE4E5B9)
+    ranked ^= ranked >> np.uint64(27)
+    ranked *= np.uint64(0x94D049BB133111EB)
+    ranked ^= ranked >> np.uint64(31)
+    places, rows = np.empty((len(ranked), many), "int64"), np.arange(len(ranked))
+    for i in range(many):
+        places[:, i] = ranked.argmin(axis=1)
+        ranked[rows, places[:, i]] = np.iinfo("uint64").max
+    return np.sort(places, axis=1)
+
+
 def sketch(hashes: np.ndarray, size: int = KMERS[0], bands: int = BANDS) -> np.ndarray:
     """The key of each band for the word hashes of one text, from `size` k-mers; a text of fewer than five words is a single k-mer."""
     h = hashes.astype("uint64")
@@ -66,9 +80,9 @@ def sketch(hashes: np.ndarray, size: int = KMERS[0], bands: int = BANDS) -> np.n
         kmers = _mixed(kmers * np.uint64(31) + h[i : len(h) - k + 1 + i])
     labelled = _mixed(kmers + _occurrences(kmers) * np.uint64(0x9E3779B97F4A7C15))
     seeds = _mixed(np.arange(1, bands + 1, dtype="uint64") + np.uint64(SEED << 32))
-    ranked = _mixed(labelled[None, :] ^ seeds[:, None])
     many = min(size, len(labelled))
-    places = np.sort(np.argpartition(ranked, many - 1, axis=1)[:, :many], axis=1)
+    step = max(1, CELLS // 8 // len(labelled))
+    places = np.concatenate([_least(labelled[None, :] ^ seeds[i : i + step, None], many) for i in range(0, bands, step)])
     key = seeds + np.uint64(size)
     for i in range(many):
         key = _mixed(key * np.uint64(31) + labelled[places[:, i]])
