@@ -216,8 +216,9 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(text("b", "y"), "b").join(text("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
-def rare_pairs(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n): each row (node, text) of n words under those of its rarest word pairs that another row has too; rare is what few rows have.
+def rare_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, n, label): each row (node, text) of n words under those of its rarest word pairs that another row has too; rare is what few rows have.
+    Labels are looked up once a row, before its pairs are dealt out.
 
     Of a text's pairs, counted with their occurrences and the borders of the text, so many come that two texts whose edit
     similarity is SIMILARITY or more share SHARED buckets at least, or all the pairs they have to share if these are fewer.
@@ -237,7 +238,8 @@ def rare_pairs(nodes: DataFrame) -> DataFrame:
     ranked = each.join(common, "bucket", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "bucket"))).alias("pairs"))
     n = F.size("pairs") - 1
     first = F.slice("pairs", 1, (2 * _allowed(n) + 2 + SHARED).cast("int"))
-    return ranked.select("node", n.alias("n"), F.explode(first).alias("p")).where("p.rows > 1").select(F.col("p.bucket").alias("bucket"), "node", "n")
+    few = _named(ranked.select("node", n.alias("n"), F.filter(first, lambda p: p["rows"] > 1).alias("few")), roots)
+    return few.select(F.explode("few.bucket").alias("bucket"), "node", "n", "label")
 
 
 def _allowed(n: Column) -> Column:
@@ -270,9 +272,14 @@ def _occurrences(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows (bucket, node, size and others) with their label, of buckets that hold several labels."""
-    named = materialize(members.join(roots, "node", "left").select(*members.columns, F.coalesce("root", "node").alias("label")), "labelled")
+def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows with the label of their node: the root of its component, or itself."""
+    return rows.join(roots, "node", "left").select(*rows.columns, F.coalesce("root", "node").alias("label"))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """The rows (bucket, node, label, size and others) of buckets that hold several labels."""
+    named = materialize(named, "labelled")
     spread = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket")
     return materialize(named.join(materialize(spread, "spread"), "bucket", "left_semi"), "open")
 
@@ -390,16 +397,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     nodes = materialize(present.join(materialize(members.select("node").distinct(), "wanted"), "node", "left_semi"), "candidates")
     led = materialize(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
     links = materialize(verified(led, nodes), "verified")
-    open_ = _open(members.where("size > 2").drop("lead"), components(links))
+    open_ = _open(_named(members.where("size > 2").drop("lead"), components(links)))
     more = materialize(_pairs_apart(open_).join(led, ["a", "b"], "left_anti"), "more-pairs")
     links = links.unionByName(materialize(verified(more, nodes), "more-verified"))
     roots = components(links)
     wide = open_.where(F.col("size") > SMALL)
     if not wide.isEmpty():
-        again = _open(wide.drop("label"), roots).select("node").distinct()
-        pairs = materialize(rare_pairs(nodes.join(again, "node", "left_semi")), "rare-pairs")
+        again = _open(_named(wide.drop("label"), roots)).select("node").distinct()
+        pairs = materialize(rare_pairs(nodes.join(again, "node", "left_semi"), roots), "rare-pairs")
         sizes = materialize(pairs.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "rare-sizes")
-        open_ = _open(pairs.join(sizes, "bucket"), roots)
+        open_ = _open(pairs.join(sizes, "bucket"))
         tried = led.unionByName(more)
         few = materialize(_rare_candidates(open_).join(tried, ["a", "b"], "left_anti"), "rare-candidates")
         few = materialize(verified(few, nodes), "rare-verified")
