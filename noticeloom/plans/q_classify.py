@@ -202,6 +202,17 @@ def verdict_funnel(t: Tables) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("raw"), n("exclude_hard", "hard"), n("exclude_service", "service"), n("include", "included"), n("exclude_no_signal", "no_signal"))
 
 
+_PRESPEC = [("prespec", ["than", "thou"])]
+
+
+@query("included_by_type", f"SELECT source, count(*) AS included, count(*) FILTER (notice_type = 'prespec') AS pre_spec, count(*) FILTER (notice_type <> 'prespec') AS formal FROM (SELECT source, {_case('text', _CASCADE, 'exclude_no_signal')} AS v, {_case('text', _PRESPEC, 'formal')} AS notice_type FROM documents) WHERE v = 'include' GROUP BY source")
+def included_by_type(t: Tables) -> DataFrame:
+    """Of the included rows of each source, how many announce a specification and how many are formal notices."""
+    rows = t.documents.select("source", R.cascade(F.col("text"), _CASCADE, "exclude_no_signal").alias("v"), R.cascade(F.col("text"), _PRESPEC, "formal").alias("notice_type"))
+    n = lambda test, name: F.count_if(test).alias(name)
+    return rows.where("v = 'include'").groupBy("source").agg(F.count("*").alias("included"), n(F.col("notice_type") == "prespec", "pre_spec"), n(F.col("notice_type") != "prespec", "formal"))
+
+
 @query("verdict_funnel_entry")
 def verdict_funnel_entry(t: Tables) -> DataFrame:
     """Pages, stripped of tags, and documents through the cascade and the tags: rows by source, verdict and category."""
