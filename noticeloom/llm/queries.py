@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeloom.llm import ball_tree, decontamination, exact_dedup, mixing, near_dedup, piece_sampling, quality, secrets, suffix_family, token_counts, token_files
+from noticeloom.llm import ball_tree, decontamination, drift_clusters, exact_dedup, mixing, near_dedup, piece_sampling, quality, secrets, spelling, suffix_family, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,11 +15,14 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality": quality.op9_quality,
     "op10_exact_top_k": ball_tree.op10_exact_top_k,
+    "op11_centroid_clusters": drift_clusters.op11_centroid_clusters,
     "op12_decontamination": decontamination.op12_decontamination,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_exact_top_k": ball_tree.ORACLE,
+    "op11_centroid_clusters": drift_clusters.ORACLE,
     "op12_decontamination": decontamination.ORACLE,
 }
