@@ -94,6 +94,6 @@ def test_filters_hold_every_word():
     assert held(absent).sum() < 30
     codes = spelling._codes(["abcabca"], 7)
     edits = {h.tolist()[k]: "abcabca"[: p.tolist()[k]] + (chr(int(c[k])) if c[k] else "") + "abcabca"[p.tolist()[k] + 1 :] for goal, h, w, p, c in spelling._edits(codes, np.array([97, 98, 99], "uint64")) for k in range(len(h))}
-    assert all(h == int(hashes([e])[0]) for h, e in edits.items())
+    assert all(spelling._mixed(np.array([h], "uint64"))[0] == hashes([e])[0] for h, e in edits.items())
     replaced = sum("abc".index(c) for c in "abcabca")  # by each smaller letter
     assert len(edits) == 7 + replaced
