@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.functions.terms import replace_terms
 from noticeloom.functions.text import clean_space
 
 CJK = "一-鿿"
@@ -23,8 +24,11 @@ def compile_glossary(entries: Sequence[tuple[int, str, str]]) -> list[tuple[str,
     return [(s, t) for _, s, t in sorted(entries, key=lambda e: (e[0], -len(e[1])))]
 
 
-def glossary_fold(text: Column, glossary: Sequence[tuple[str, str]]) -> Column:
-    """Each source becomes its target between blanks; later entries see what earlier ones wrote."""
+def glossary_fold(text: Column, glossary: Sequence[tuple[str, str]], rescan: bool = True) -> Column:
+    """Each source becomes its target between blanks. With rescan, entry by entry: later entries see what earlier ones wrote.
+    Without, in a single pass that takes the longest source at each place and never looks at a target again."""
+    if not rescan:
+        return clean_space(replace_terms(text, glossary))
     return clean_space(reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(f" {e[1]} ")), glossary, text))
 
 
@@ -45,12 +49,49 @@ def transliterate(rows: DataFrame, key: str, text: str, table: DataFrame, chars:
     return named.select(key, "pos", "run", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("syllables"))
 
 
-def translated(text: Column, rules: Sequence[tuple[str, str]], glossary: Sequence[tuple[str, str]], chars: str = CJK) -> Column:
+def romanized(rows: DataFrame, text: str, table: DataFrame, chars: str = CJK, out: str = "romanized") -> DataFrame:
+    """The rows with one more column: the whole text, what is left of the script written in syllables.
+
+    A run of the script is cut in pairs of characters; a pair becomes the capitalised syllables of a table (char, syllable), pairs are
+    parted by blanks, and everything else stays as and where it is. Characters without syllable stay; null and texts
+    without the script are themselves. Equal texts are rebuilt once: their segments carry their places, meet the table (at most one row for
+    each character there is, so it may be broadcast) and are put together again by place.
+    """
+    held = F.coalesce(F.col(text).rlike(f"[{chars}]"), F.lit(False))
+    pending = rows.where(held).withColumn("_digest", F.sha2(text, 256))
+    segments = F.regexp_extract_all(F.col("_text"), F.lit(f"(?s)([{chars}]{{1,2}}|[^{chars}]+)"), F.lit(1))
+    placed = pending.select("_digest", F.col(text).alias("_text")).dropDuplicates(["_digest"]).select("_digest", F.posexplode(segments).alias("at", "segment"), segments.alias("all"))
+    script = lambda s: s.rlike(f"[{chars}]")
+    placed = placed.select("_digest", "at", "segment", script(F.col("segment")).alias("is"), (F.col("at").cast("boolean") & script(F.get("all", F.greatest(F.col("at") - 1, F.lit(0))))).alias("after"))
+    for k in (1, 2):
+        char = F.when(F.col("is"), F.nullif(F.substring("segment", k, 1), F.lit("")))
+        syllables = table.select(F.col("char").alias(f"c{k}"), F.initcap("syllable").alias(f"s{k}")).dropDuplicates([f"c{k}"])
+        placed = placed.withColumn(f"c{k}", char).join(syllables, f"c{k}", "left")
+    word = F.concat(F.when(F.col("after"), " ").otherwise(""), F.coalesce("s1", "c1"), F.coalesce("s2", "c2", F.lit("")))
+    pieces = placed.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("is"), word).otherwise(F.col("segment")).alias("p")))).alias("ps"))
+    rebuilt = pieces.select("_digest", F.array_join(F.transform("ps", lambda x: x["p"]), "").alias(out))
+    return pending.join(rebuilt, "_digest", "left").drop("_digest").unionByName(rows.where(~held).withColumn(out, F.col(text)))
+
+
+def translated(text: Column, rules: Sequence[tuple[str, str]], glossary: Sequence[tuple[str, str]], chars: str = CJK, rescan: bool = True) -> Column:
     """struct(text, ok): ok if nothing of the script is left; an empty text is itself and ok."""
-    out = glossary_fold(numeric_units(text, rules), glossary)
+    out = glossary_fold(numeric_units(text, rules), glossary, rescan)
     return F.struct(F.when(text == "", text).otherwise(out).alias("text"), F.when(text == "", True).otherwise(~out.rlike(f"[{chars}]")).alias("ok"))
 
 
+def translate_rows(rows: DataFrame, text: str, rules: Sequence[tuple[str, str]], glossary: Sequence[tuple[str, str]], table: DataFrame, chars: str = CJK, rescan: bool = True) -> DataFrame:
+    """The rows with `<text>_translated` and `<text>_ok`: the glossary's work, and where it leaves some of the script, that in syllables and not ok."""
+    done, ok = f"{text}_translated", f"{text}_ok"
+    folded = rows.withColumn("_t", translated(F.col(text), rules, glossary, chars, rescan)).withColumns({"_folded": F.col("_t.text"), ok: F.col("_t.ok")}).drop("_t")
+    return romanized(folded, "_folded", table, chars, done).drop("_folded")
+
+
+def region_rows(rows: DataFrame, text: str, regions: Sequence[tuple[str, str]], suffixes: Sequence[str], table: DataFrame, chars: str = CJK) -> DataFrame:
+    """The rows with `<text>_translated`: the first region that occurs is replaced, what is left of the script becomes syllables."""
+    named = rows.withColumn("_region", region_translate(F.col(text), regions, suffixes))
+    return romanized(named, "_region", table, chars, f"{text}_translated").drop("_region")
+
+
 def region_translate(text: Column, regions: Sequence[tuple[str, str]], suffixes: Sequence[str]) -> Column:
     """The first region, in order, that occurs (with a suffix first, then bare) is replaced; then it stops."""
     forms = [(r + s, t) for r, t in regions for s in suffixes]

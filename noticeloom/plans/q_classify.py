@@ -220,3 +220,29 @@ def verdict_funnel_entry(t: Tables) -> DataFrame:
     rows = pages.unionByName(t.documents.select("source", "text"))
     tagged = rows.select("source", R.cascade(F.col("text"), _CASCADE, "exclude_no_signal").alias("verdict"), F.explode(R.category_tags(F.col("text"), CATEGORIES, "process")).alias("category"))
     return tagged.groupBy("source", "verdict", "category").agg(F.count("*").alias("n"))
+
+
+_TERM_WORDS = "SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS w FROM benchmark)"
+
+
+def benchmark_terms(t: Tables) -> DataFrame:
+    """The longer words of the benchmark: a term table that is data."""
+    return t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"), F.lit(1))).alias("w")).select(F.lower("w").alias("term")).distinct()
+
+
+@query("term_hits_index", f"WITH terms AS ({_TERM_WORDS}), d AS (SELECT doc_id, lower(replace(text, ' ', '')) AS t FROM documents) SELECT doc_id, term FROM d JOIN terms ON contains(t, term)")
+def term_hits_index(t: Tables) -> DataFrame:
+    """Which of thousands of terms occur in which texts, by an inverted index of the terms' grams."""
+    return R.term_hits(t.documents, "doc_id", "text", benchmark_terms(t))
+
+
+_RULES_SQL = f"SELECT term, CASE WHEN length(term) > 12 THEN 0 WHEN length(term) > 9 THEN 1 ELSE 2 END AS priority FROM ({_TERM_WORDS})"
+
+
+@query("rule_table_cascade", f"WITH rules AS ({_RULES_SQL}), d AS (SELECT doc_id, lower(replace(text, ' ', '')) AS t FROM documents), h AS (SELECT doc_id, min(priority) AS p FROM d JOIN rules ON contains(t, term) GROUP BY doc_id) SELECT doc_id, CASE p WHEN 0 THEN 'exclude_hard' WHEN 1 THEN 'include' WHEN 2 THEN 'exclude_service' ELSE 'exclude_no_signal' END AS verdict FROM d LEFT JOIN h USING (doc_id)")
+def rule_table_cascade(t: Tables) -> DataFrame:
+    """The cascade of a rule table with far more than 50 terms: one automaton, one pass over each text."""
+    terms = benchmark_terms(t)
+    size = F.length("term")
+    rules = terms.select("term", F.when(size > 12, 0).when(size > 9, 1).otherwise(2).alias("priority")).withColumn("verdict", F.element_at(F.array(F.lit("exclude_hard"), F.lit("include"), F.lit("exclude_service")), F.col("priority") + 1))
+    return t.documents.select("doc_id", R.cascade(F.col("text"), R.compile_rules(rules), "exclude_no_signal").alias("verdict"))
