@@ -56,9 +56,25 @@ def lockouts(log: DataFrame, limit: int = LIMIT, lock_minutes: int = LOCK_MINUTE
     return rows.withColumn("minutes_left", F.when(F.col("decision") != "allowed", F.ceil(F.timestamp_diff("SECOND", "ts", "locked_until") / 60)).cast("long"))
 
 
-def session_valid(requests: DataFrame, logins: DataFrame, key: str, ts: str, hours: int = 24) -> DataFrame:
-    """Requests with the last login at or before them, and whether the session still runs then."""
+def last_before(rows: DataFrame, key: str, ts: str, value: str, tie: str, slice_hours: int) -> DataFrame:
+    """The rows with `last`: the latest non-null value of their key up to their place in the order of ts and tie, for values that grow with ts.
+
+    A segmented scan: the time of a key is cut into slices of fixed length, each slice's greatest value is carried to the next ones, and
+    then every slice is scanned by itself. A window over a key holds a value a slice, never the key's rows, so one key may have all rows.
+    """
+    placed = rows.withColumn("_slice", F.timestamp_diff("HOUR", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")) / slice_hours)
+    placed = placed.withColumn("_slice", F.floor("_slice"))
+    earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    slices = placed.groupBy(F.col(key).alias("_k"), F.col("_slice").alias("_s")).agg(F.max(value).alias("_m"))
+    carried = slices.select("_k", "_s", F.max("_m").over(earlier).alias("_carry")).where("_carry is not null")
+    within = Window.partitionBy(key, "_slice").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    scanned = placed.withColumn("_last", F.last(value, ignorenulls=True).over(within))
+    both = scanned.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_slice").eqNullSafe(F.col("_s")), "left")
+    return both.withColumn("last", F.coalesce("_last", "_carry")).drop("_slice", "_k", "_s", "_last", "_carry")
+
+
+def session_valid(requests: DataFrame, logins: DataFrame, key: str, ts: str, hours: int = 24, slice_hours: int = 24) -> DataFrame:
+    """Requests with the last login at or before them, and whether the session still runs then. Requests without time have none."""
     both = logins.select(key, ts, F.lit(None).cast("long").alias("event_id"), F.col(ts).alias("login")).unionByName(requests.select(key, ts, "event_id", F.lit(None).cast("timestamp_ntz").alias("login")))
-    before = Window.partitionBy(key).orderBy(F.col(ts), F.col("login").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.withColumn("last_login", F.last("login", ignorenulls=True).over(before)).where("event_id is not null")
-    return rows.select("event_id", key, ts, "last_login", F.coalesce(F.col(ts) < F.col("last_login") + F.expr(f"INTERVAL {hours} HOURS"), F.lit(False)).alias("valid"))
+    rows = last_before(both.withColumn("_request", F.col("login").isNull()), key, ts, "login", "_request", slice_hours).where("_request")
+    return rows.select("event_id", key, ts, F.col("last").alias("last_login"), F.coalesce(F.col(ts) < F.col("last") + F.expr(f"INTERVAL {hours} HOURS"), F.lit(False)).alias("valid"))

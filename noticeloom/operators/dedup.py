@@ -20,10 +20,15 @@ def two_key(rows: DataFrame, id_key: str, keys: Sequence[str], *order: Column |
     return first_by(first_by(rows, [id_key], *order), keys, *order)
 
 
-def take_while(rows: DataFrame, list_key: str, stop: Column, *order: Column | str) -> DataFrame:
-    """The rows of each list before the first that stops it."""
-    so_far = Window.partitionBy(list_key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_stop", F.max(stop.cast("int")).over(so_far)).where("_stop = 0").drop("_stop")
+def take_while(rows: DataFrame, list_key: str, stop: Column, *order: str) -> DataFrame:
+    """The rows of each list before the first that stops it, in ascending order of the columns named; a null stop is none.
+
+    The first stop of each list is an aggregate and comes back by a join, so a list of any length is spread over all tasks.
+    """
+    place = lambda: F.struct(*order)
+    first = rows.where(stop).groupBy(F.col(list_key).alias("_list")).agg(F.min(place()).alias("_first"))
+    joined = rows.join(first, F.col(list_key).eqNullSafe(F.col("_list")), "left")
+    return joined.where(F.col("_first").isNull() | (place() < F.col("_first"))).drop("_list", "_first")
 
 
 def union_sources(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:

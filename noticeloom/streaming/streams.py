@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noticeloom.operators import access as A
@@ -55,6 +56,47 @@ def first_seen(stream: DataFrame, key: str, stamp: Column) -> DataFrame:
     return stream.groupBy(key).agg(F.min(stamp).alias("first_seen"))
 
 
+class FirstSeen(StatefulProcessor):
+    """Value state for each key: its stamp. Keys of the snapshot come with theirs, others get the least of the batch that brings them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "stamp timestamp, known boolean, told boolean")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803
+        stamp = pd.Timestamp(initialState["first_seen"].min())
+        if not pd.isna(stamp):
+            self.seen.update((stamp.to_pydatetime(), True, False))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        stamp, known, told = self.seen.get() if self.seen.exists() else (None, False, False)
+        least = min((x for x in (part["stamp"].min() for part in rows) if not pd.isna(x)), default=None)
+        if told or (stamp is None and least is None):
+            return
+        stamp = pd.Timestamp(stamp if stamp is not None else least)
+        self.seen.update((stamp.to_pydatetime(), known, True))
+        yield pd.DataFrame({"key": [key[0]], "first_seen": [stamp], "known": [known]})
+
+    def close(self) -> None:
+        pass
+
+
+#: Spark's setting for the state store that keyed processors need.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def first_seen_since(stream: DataFrame, key: str, stamp: str, snapshot: DataFrame) -> DataFrame:
+    """(key, first_seen, known), once for each key: the stamp of the snapshot (key, first_seen), or of the stream where that is known by none.
+
+    The state begins with the snapshot and has no end: a notice that returns keeps its stamp, over batches and restarts. Rows without key or without any
+    stamp are told nowhere. The session's state store has to be STATE_STORE.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    given = stream.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(stamp).cast("timestamp").alias("stamp"))
+    before = snapshot.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("first_seen").cast("timestamp").alias("first_seen"))
+    out = f"key {kind}, first_seen timestamp, known boolean"
+    return given.groupBy("key").transformWithStateInPandas(FirstSeen(), out, "Append", "None", initialState=before.groupBy("key"))
+
+
 def lockouts(stream: DataFrame, limit: int = A.LIMIT, lock_minutes: int = A.LOCK_MINUTES) -> DataFrame:
     """As the batch operator, with each key's counter and lock as state; rows (key, ts, outcome, event_id)."""
     lock = pd.Timedelta(minutes=lock_minutes)
