@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions import text as X
+from noticeloom.functions.sql import register_functions
+from noticeloom.operators import dedup as D
 from noticeloom.operators import marts as M
+from noticeloom.operators import metrics as M2
 from noticeloom.operators import rules as R
 from noticeloom.plans.catalog import Tables, query
+from noticeloom.plans.q_extract import _NOCOMMENT, _stripped
+from noticeloom.sources.snapshots import scratch
 
 AS_OF = "1998-08-02"
 
@@ -213,7 +218,10 @@ def included_by_type(t: Tables) -> DataFrame:
     return rows.where("v = 'include'").groupBy("source").agg(F.count("*").alias("included"), n(F.col("notice_type") == "prespec", "pre_spec"), n(F.col("notice_type") != "prespec", "formal"))
 
 
-@query("verdict_funnel_entry")
+@query("verdict_funnel_entry", f"""WITH rows AS (SELECT 'pages' AS source, {_stripped(_NOCOMMENT)} AS text FROM pages UNION ALL SELECT source, text FROM documents),
+v AS (SELECT source, {_case('text', _CASCADE, 'exclude_no_signal')} AS verdict, {', '.join(f"{_has('text', terms)} AS has_{name}" for name, terms in CATEGORIES)} FROM rows),
+c AS (SELECT source, verdict, unnest(CASE WHEN {' OR '.join(f'has_{name}' for name, _ in CATEGORIES)} THEN list_filter([{', '.join(f"CASE WHEN has_{name} THEN '{name}' END" for name, _ in CATEGORIES)}], lambda x: x IS NOT NULL) ELSE ['process'] END) AS category FROM v)
+SELECT source, verdict, category, count(*) AS n FROM c GROUP BY ALL""")
 def verdict_funnel_entry(t: Tables) -> DataFrame:
     """Pages, stripped of tags, and documents through the cascade and the tags: rows by source, verdict and category."""
     pages = t.pages.select(F.lit("pages").alias("source"), X.strip_tags(F.col("html"), comments=True).alias("text"))
@@ -246,3 +254,47 @@ def rule_table_cascade(t: Tables) -> DataFrame:
     size = F.length("term")
     rules = terms.select("term", F.when(size > 12, 0).when(size > 9, 1).otherwise(2).alias("priority")).withColumn("verdict", F.element_at(F.array(F.lit("exclude_hard"), F.lit("include"), F.lit("exclude_service")), F.col("priority") + 1))
     return t.documents.select("doc_id", R.cascade(F.col("text"), R.compile_rules(rules), "exclude_no_signal").alias("verdict"))
+
+
+_WORTH = "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, lower(replace(text, ' ', '')) ORDER BY doc_id) AS r, " + _case("text", _CASCADE, "exclude_no_signal") + " AS v, regexp_matches(text, '[éèñß]') AS rest FROM documents"
+
+
+@query("run_funnels", f"""WITH d AS ({_WORTH}), x AS (SELECT d.*, l.quality FROM d LEFT JOIN labels l USING (doc_id))
+SELECT lang AS source_code, CASE WHEN count(*) FILTER (r = 1 AND v = 'include' AND quality = 1) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) FILTER (r = 1 AND v = 'include' AND quality = 1) AS n, count(*) AS raw, count(*) FILTER (r > 1) AS duplicates, count(*) FILTER (r = 1 AND v = 'exclude_hard') AS hard, count(*) FILTER (r = 1 AND v = 'exclude_service') AS service,
+count(*) FILTER (r = 1 AND v = 'exclude_no_signal') AS no_signal, count(*) FILTER (r = 1 AND v = 'include' AND quality IS NULL) AS no_detail, count(*) FILTER (r = 1 AND v = 'include' AND quality = 0) AS excluded_after_detail, count(*) FILTER (r = 1 AND v = 'include' AND quality = 1 AND rest) AS translation_incomplete
+FROM x WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang""")
+def run_funnels(t: Tables) -> DataFrame:
+    """Four sources are worked through and written; all counters come from those runs' own plans, by way of the run log."""
+    path = scratch(t.spark, "funnels")
+
+    def work(lang: str):
+        def plan(funnel: M2.Funnel) -> DataFrame:
+            rows = funnel.watch(t.documents.where(F.col("lang") == lang).select("doc_id", "text", F.sha2(X.normalize_text(F.col("text")), 256).alias("same")), raw=F.count("*"))
+            rows = D.first_by(rows, ["same"], "doc_id").withColumn("v", R.cascade(F.col("text"), _CASCADE, "exclude_no_signal"))
+            rows = funnel.watch(rows, distinct=F.count("*"), **{v: F.count_if(F.col("v") == v) for v in ("exclude_hard", "exclude_service", "exclude_no_signal")})
+            rows = rows.where("v = 'include'").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+            rows = funnel.watch(rows, no_detail=F.count_if(F.col("quality").isNull()), excluded_after_detail=F.count_if(F.col("quality") == 0)).where("quality = 1")
+            return funnel.watch(rows, included=F.count("*"), translation_incomplete=F.count_if(F.col("text").rlike("[éèñß]"))).select("doc_id", "text")
+
+        return plan
+
+    for lang in ("en", "de", "fr", "es"):
+        M2.logged_run(t.spark, lang, work(lang), lambda df: df.write.mode("append").parquet(f"{path}/notices"), f"{path}/log", AS_OF)
+    log = t.spark.read.schema(M2.RUN_LOG).parquet(f"{path}/log").where("elapsed_s > 0")
+    c = lambda name: F.col("counters")[name]
+    return log.select("source_code", "status", "n", c("raw").alias("raw"), (c("raw") - c("distinct")).alias("duplicates"), c("exclude_hard").alias("hard"), c("exclude_service").alias("service"), c("exclude_no_signal").alias("no_signal"), c("no_detail").alias("no_detail"), c("excluded_after_detail").alias("excluded_after_detail"), c("translation_incomplete").alias("translation_incomplete"))
+
+
+_ARRAY = lambda terms: "array(" + ", ".join(f"'{x}'" for x in terms) + ")"
+
+
+@query("sql_surface", f"SELECT doc_id, {_RELEVANT} AS relevant, {_PURCHASE} AS purchase, {_word('text', 'of')} AS has_of, CAST(length(lower(replace(text, ' ', ''))) AS VARCHAR) AS size FROM documents")
+def sql_surface(t: Tables) -> DataFrame:
+    """The predicates in SQL text alone."""
+    register_functions(t.spark, "notice_")
+    return t.spark.sql(
+        f"""SELECT doc_id, notice_list_relevant(text, {_ARRAY(HARD)}, {_ARRAY(STRONG)}, {_ARRAY(LOW)}) AS relevant,
+        notice_purchase_context(text, {_ARRAY(HARD)}, {_ARRAY(PHRASES)}, {_ARRAY(VERBS)}, {_ARRAY(EQUIPMENT)}) AS purchase,
+        notice_token_term(text, 'of') AS has_of, cast(char_length(notice_normalize_text(text)) AS string) AS size FROM {{docs}}""",
+        docs=t.documents,
+    )

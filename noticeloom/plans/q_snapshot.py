@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from noticeloom.operators import snapshot as S
 from noticeloom.plans.catalog import Tables, query
+from noticeloom.sources import landing, publish
 from noticeloom.sources import snapshots as files
+from noticeloom.streaming.streams import run_to_end
 
 _PREV = "prev AS (SELECT event_id, event_type, ts FROM events WHERE ts < TIMESTAMP '2024-01-16')"
 _CUR = "cur AS (SELECT event_id, event_type, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_type <> 'purchase')"
@@ -92,3 +94,45 @@ def snapshot_read(t: Tables) -> DataFrame:
     files.export_document(rows, path, "2024-01-15T00:00:00+00:00", ["id"])
     schema = "id long, title string"
     return files.read_document(t.spark, path, schema).unionByName(files.read_document(t.spark, path + "-missing", schema))
+
+
+@query("snapshot_publish", "SELECT o_orderkey AS id, o_orderpriority AS source_code, CAST(o_orderdate AS DATE) AS due_date FROM orders WHERE o_orderstatus <> 'P'")
+def snapshot_publish(t: Tables) -> DataFrame:
+    """Published twice as sorted lines behind a manifest; a version that was written but never swapped in isn't seen."""
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source_code"), F.col("o_orderdate").cast("date").alias("due_date"), "o_orderstatus")
+    path = files.scratch(t.spark, "published")
+    publish.publish(rows.where("o_orderstatus = 'P'").drop("o_orderstatus"), path, "2024-01-14T07:00:00+09:00", ["due_date", "id"])
+    publish.publish(rows.where("o_orderstatus <> 'P'").drop("o_orderstatus"), path, "2024-01-15T07:00:00+09:00", ["due_date", "id"])
+    publish.write_version(rows.drop("o_orderstatus"), path, ["id"])
+    return publish.read_published(t.spark, path, "id long, source_code string, due_date date")
+
+
+_LANDED = "SELECT CASE WHEN page_id % 5 = 0 THEN 'list' ELSE 'detail' END AS page_kind, page_id, md5(html) AS body_md5, CASE WHEN page_id % 5 = 0 THEN page_id % 7 END AS page_no FROM pages"
+
+
+def _landed(t: Tables) -> str:
+    is_list = F.col("page_id") % 5 == 0
+    pages = t.pages.select(F.lit("SITE").alias("source_code"), F.when(is_list, "list").otherwise("detail").alias("page_kind"), F.when(is_list, F.col("page_id").cast("string")).alias("list_key"), F.when(is_list, F.col("page_id") % 7).alias("page_no"), F.when(~is_list, F.col("page_id").cast("string")).alias("key"), F.col("html").alias("body"))
+    root = files.scratch(t.spark, "landing")
+    landing.land(pages, root)
+    landing.register_landing(t.spark)
+    return root
+
+
+def _read_back(pages: DataFrame) -> DataFrame:
+    return pages.select("page_kind", F.coalesce("key", "list_key").cast("long").alias("page_id"), F.md5(F.col("body").cast("binary")).alias("body_md5"), F.col("page_no").cast("long").alias("page_no"))
+
+
+@query("landing_batch", _LANDED)
+def landing_batch(t: Tables) -> DataFrame:
+    """Pages as files in a landing folder, read by the data source."""
+    return _read_back(t.spark.read.format("landing").option("path", _landed(t)).option("source", "SITE").option("groupBytes", 1 << 20).load())
+
+
+@query("landing_stream", _LANDED)
+def landing_stream(t: Tables) -> DataFrame:
+    """The same folder as a stream, run to its end."""
+    path = files.scratch(t.spark, "landed")
+    stream = t.spark.readStream.format("landing").option("path", _landed(t)).option("groupBytes", 1 << 20).load()
+    run_to_end(_read_back(stream), path)
+    return t.spark.read.schema("page_kind string, page_id long, body_md5 string, page_no long").parquet(f"{path}/rows")
