@@ -381,16 +381,22 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, kept for each row of documents: class_id is the least doc_id of the class, whose row is kept.
+    """doc_id, class_id, class_size, kept, text_sha256 for each row of documents: class_id is the least doc_id of the class, null where no row of it has one.
 
-    Exact copies share a class, empty and null texts among themselves too. Rows without doc_id take no part: they are
-    kept, without class. A doc_id that repeats is one document; all its rows are returned, and with its own class_id all
-    are kept.
+    A document is a text with its doc_id: texts that share a doc_id, or have none, are classed each by itself. Exact copies share a class, empty and null
+    texts among themselves too. Of each class the document with the least doc_id is kept, ties to the least text_sha256, rows without
+    doc_id last; rows that repeat doc_id and text are one document and share its fate. Without rows the result is empty.
+    Very long texts are aligned by bit vectors, in time that grows with the square of their words.
     """
     docs = texts(documents)
-    keys = materialize(docs.select("doc_id", F.sha2("text", 256).alias("key")), "keys")
-    firsts = materialize(keys.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "firsts")
-    present = docs.where("doc_id is not null").withColumnRenamed("doc_id", "node")
+    keys = materialize(docs.select(F.col("doc_id").alias("id"), "doc_id", F.sha2("text", 256).alias("key")), "keys")
+    if not keys.groupBy("doc_id").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("doc_id is null or k0 <> k1").isEmpty():  # ids that don't name one text: rows get numbers
+        docs = materialize(docs.withColumn("id", F.monotonically_increasing_id()), "numbered")
+        keys = materialize(docs.select("id", "doc_id", F.sha2("text", 256).alias("key")), "keys")
+    else:
+        docs = docs.withColumn("id", F.col("doc_id"))
+    firsts = materialize(keys.groupBy("key").agg(F.min("id").alias("node")), "firsts")
+    present = docs.select(F.col("id").alias("node"), "text")
     rows = materialize(sketches(present, KMERS[0]).join(firsts.select("node").distinct(), "node", "left_semi"), "sketches")
     buckets = materialize(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1"), "buckets")
     members = materialize(rows.join(buckets, "bucket"), "members")
@@ -412,13 +418,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         few = materialize(verified(few, nodes), "rare-verified")
         many = _across(_families(open_.where(F.col("size") > MIDDLE).drop("n")), nodes)
         roots = components(links.unionByName(few).unionByName(materialize(many, "across")))
-    named = firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class_id"))
-    named = materialize(named, "named")
-    sized = materialize(keys.where("doc_id is not null").join(named, "key").select("doc_id", "class_id"), "sized")
-    sizes = materialize(sized.groupBy("class_id").agg(F.count("*").alias("class_size")), "class-sizes")
-    every = sized.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    alone = keys.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    return every.unionByName(alone)
+    named = materialize(firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class")), "named")
+    sized = materialize(keys.join(named, "key").select("doc_id", "key", "class"), "sized")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key"))
+    sizes = materialize(sized.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first")), "class-sizes")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    return sized.join(sizes, "class").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", kept.alias("kept"), F.col("key").alias("text_sha256"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

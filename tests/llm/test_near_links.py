@@ -1,5 +1,6 @@
 """Operator 6 against every pair that shares a sketch, in buckets that are too large for a leader and its followers."""
 
+import hashlib
 import itertools
 import random
 from collections import defaultdict
@@ -103,3 +104,22 @@ def test_recall_of_scattered_edits(spark):
     got = found(spark, rows)
     assert {got[2 * k] for k in range(500)} == {2 * k for k in range(500)}
     assert sum(got[2 * k + 1] == 2 * k for k in range(500)) >= 450
+
+
+def test_texts_that_share_an_id_are_classed_each_by_itself(spark):
+    """Of one doc_id's texts the copy goes and the other stays; rows without doc_id take part."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c = prose(60), prose(60), prose(60)
+    changed = lambda t: t.replace(t.split()[30], "changed", 1)
+    rows = [(1, a), (2, changed(a)), (2, b), (None, changed(b)), (None, c), (5, changed(c)), (None, "lone"), (2, b), (7, ""), (None, None)]
+    for order in range(3):
+        given = random.Random(order).sample(rows, len(rows))
+        got = near_dedup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+        by = {(r.doc_id, r.text_sha256): (r.class_id, r.class_size, r.kept) for r in got}
+        key = lambda i, t: (i, hashlib.sha256((t or "").encode()).hexdigest())
+        assert len(got) == len(rows)
+        assert by[key(1, a)] == (1, 2, True) and by[key(2, changed(a))] == (1, 2, False)
+        assert by[key(2, b)] == (2, 3, True) and by[key(None, changed(b))] == (2, 3, False)
+        assert by[key(5, changed(c))] == (5, 2, True) and by[key(None, c)] == (5, 2, False)
+        assert by[key(None, "lone")] == (None, 1, True) and by[key(7, "")] == (7, 2, True) and by[key(None, "")] == (7, 2, False)
