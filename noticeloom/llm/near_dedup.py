@@ -1,8 +1,8 @@
 """Operator 6: near-duplicates by order MinHash, verified by banded alignment.
 
-Each k-mer of five words carries the number of its occurrence. For each of BANDS random orders the sketch takes the least
+Each k-mer of five words carries the number of its occurrence. For each of ORDERS random orders the sketch takes the least
 few labelled k-mers and keeps them in text order, so that two sketches agree where the texts agree in content and in
-sequence. Documents that share a sketch are aligned word by word within a band of edits; a link needs an edit
+sequence (of three k-mers each pair is a sketch). Documents that share a sketch are aligned word by word within a band of edits; a link needs an edit
 similarity of 0.8 or more. Classes are the connected components of the links.
 
 Exact copies are one node. A bucket (documents that share a sketch) first compares all members with its least member.
@@ -15,6 +15,7 @@ a sketch stay untested unless a chain of links joins them or exact bounds on edi
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,9 @@ from noticeloom.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 32
-#: K-mers of a sketch.
+#: Random orders of k-mers; of the LEAST first k-mers of each, every KMERS[0] make a sketch.
+ORDERS = 28
+LEAST = 3
 KMERS = (2,)
 SMALL = 24
 #: Buckets of rare word pairs whose members are paired where they lie, and the number of such buckets that two texts must share; members of larger ones are compared in blocks.
@@ -71,26 +73,29 @@ def _least(ranked: np.ndarray, many: int) -> np.ndarray:
     return np.sort(places, axis=1)
 
 
-def sketch(hashes: np.ndarray, size: int = KMERS[0], bands: int = BANDS) -> np.ndarray:
-    """The key of each band for the word hashes of one text, from `size` k-mers; a text of fewer than five words is a single k-mer."""
+def sketch(hashes: np.ndarray, size: int = KMERS[0], orders: int = ORDERS) -> np.ndarray:
+    """The keys of the word hashes of one text: in each order all choices of `size` of the least k-mers, in text order; a text of fewer than five words is a single k-mer."""
     h = hashes.astype("uint64")
     k = min(WORDS, len(h))
     kmers = np.zeros(len(h) - k + 1, "uint64")
     for i in range(k):
         kmers = _mixed(kmers * np.uint64(31) + h[i : len(h) - k + 1 + i])
     labelled = _mixed(kmers + _occurrences(kmers) * np.uint64(0x9E3779B97F4A7C15))
-    seeds = _mixed(np.arange(1, bands + 1, dtype="uint64") + np.uint64(SEED << 32))
-    many = min(size, len(labelled))
+    seeds = _mixed(np.arange(1, orders + 1, dtype="uint64") + np.uint64(SEED << 32))
+    many = min(LEAST, len(labelled))
     step = max(1, CELLS // 8 // len(labelled))
-    places = np.concatenate([_least(labelled[None, :] ^ seeds[i : i + step, None], many) for i in range(0, bands, step)])
-    key = seeds + np.uint64(size)
-    for i in range(many):
-        key = _mixed(key * np.uint64(31) + labelled[places[:, i]])
-    return key.astype("int64")
+    places = np.concatenate([_least(labelled[None, :] ^ seeds[i : i + step, None], many) for i in range(0, orders, step)])
+    keys = []
+    for chosen in itertools.combinations(range(many), min(size, many)):
+        key = seeds + np.uint64(size)
+        for i in chosen:
+            key = _mixed(key * np.uint64(31) + labelled[places[:, i]])
+        keys.append(key)
+    return np.concatenate(keys).astype("int64")
 
 
 def sketches(nodes: DataFrame, size: int) -> DataFrame:
-    """(node, bucket), BANDS rows for each row (node, text) that has a word."""
+    """(node, bucket): the sketches of each row (node, text) that has a word."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +103,7 @@ def sketches(nodes: DataFrame, size: int) -> DataFrame:
             found = [sketch(values[a:b], size) for a, b in zip(offsets[:-1], offsets[1:]) if b > a]
             ids = batch["node"].to_numpy(zero_copy_only=False)[np.diff(offsets) > 0]
             if found:
-                yield pa.RecordBatch.from_pydict({"node": np.repeat(ids, BANDS), "bucket": np.concatenate(found)})
+                yield pa.RecordBatch.from_pydict({"node": np.repeat(ids, [len(f) for f in found]), "bucket": np.concatenate(found)})
 
     return nodes.select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).mapInArrow(of, "node long, bucket long")
 

@@ -123,3 +123,20 @@ def test_texts_that_share_an_id_are_classed_each_by_itself(spark):
         assert by[key(2, b)] == (2, 3, True) and by[key(None, changed(b))] == (2, 3, False)
         assert by[key(5, changed(c))] == (5, 2, True) and by[key(None, c)] == (5, 2, False)
         assert by[key(None, "lone")] == (None, 1, True) and by[key(7, "")] == (7, 2, True) and by[key(None, "")] == (7, 2, False)
+
+
+def test_sketches_recall_by_edit_rate():
+    """Of 300 pairs with scattered substitutions nine of ten share a sketch, at any rate of edits up to the rule's and any length."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (50, 100, 300):
+        for rate in (0.10, 0.12, 0.15, 0.18, 0.20):
+            met = 0
+            for _ in range(300):
+                a = rng.integers(0, 1 << 40, n)
+                b = a.copy()
+                at = rng.choice(n, int(n * rate), replace=False)
+                b[at] = rng.integers(1 << 41, 1 << 42, len(at))
+                met += len(np.intersect1d(near_dedup.sketch(a), near_dedup.sketch(b))) > 0
+            assert met >= 270, (n, rate, met)
