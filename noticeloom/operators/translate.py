@@ -49,19 +49,20 @@ def transliterate(rows: DataFrame, key: str, text: str, table: DataFrame, chars:
     return named.select(key, "pos", "run", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("syllables"))
 
 
-def romanized(rows: DataFrame, text: str, table: DataFrame, chars: str = CJK, out: str = "romanized") -> DataFrame:
-    """The rows with one more column: the whole text, what is left of the script written in syllables.
+def romanize_all(rows: DataFrame, columns: dict[str, str], table: DataFrame, chars: str = CJK) -> DataFrame:
+    """The rows with a new column for each text column named: the whole text, what is left of the script written in syllables.
 
     A run of the script is cut in pairs of characters; a pair becomes the capitalised syllables of a table (char, syllable), pairs are
     parted by blanks, and everything else stays as and where it is. Characters without syllable stay; null and texts
-    without the script are themselves. Equal texts are rebuilt once: their segments carry their places, meet the table (at most one row for
-    each character there is, so it may be broadcast) and are put together again by place.
+    without the script are themselves. Equal texts of all columns are rebuilt once: their segments carry their places, meet the table (at most
+    one row for each character there is, so it may be broadcast) and are put together again by place.
     """
-    held = F.coalesce(F.col(text).rlike(f"[{chars}]"), F.lit(False))
-    pending = rows.where(held).withColumn("_digest", F.sha2(text, 256))
-    segments = F.regexp_extract_all(F.col("_text"), F.lit(f"(?s)([{chars}]{{1,2}}|[^{chars}]+)"), F.lit(1))
-    placed = pending.select("_digest", F.col(text).alias("_text")).dropDuplicates(["_digest"]).select("_digest", F.posexplode(segments).alias("at", "segment"), segments.alias("all"))
     script = lambda s: s.rlike(f"[{chars}]")
+    held = lambda c: F.coalesce(script(F.col(c)), F.lit(False))
+    left = F.array_compact(F.array(*(F.when(held(c), F.struct(F.sha2(c, 256).alias("_digest"), F.col(c).alias("_text"))) for c in columns)))
+    pending = rows.select(F.explode(left).alias("_p")).select("_p._digest", "_p._text").dropDuplicates(["_digest"])
+    segments = F.regexp_extract_all(F.col("_text"), F.lit(f"(?s)([{chars}]{{1,2}}|[^{chars}]+)"), F.lit(1))
+    placed = pending.select("_digest", F.posexplode(segments).alias("at", "segment"), segments.alias("all"))
     placed = placed.select("_digest", "at", "segment", script(F.col("segment")).alias("is"), (F.col("at").cast("boolean") & script(F.get("all", F.greatest(F.col("at") - 1, F.lit(0))))).alias("after"))
     for k in (1, 2):
         char = F.when(F.col("is"), F.nullif(F.substring("segment", k, 1), F.lit("")))
@@ -69,8 +70,16 @@ def romanized(rows: DataFrame, text: str, table: DataFrame, chars: str = CJK, ou
         placed = placed.withColumn(f"c{k}", char).join(syllables, f"c{k}", "left")
     word = F.concat(F.when(F.col("after"), " ").otherwise(""), F.coalesce("s1", "c1"), F.coalesce("s2", "c2", F.lit("")))
     pieces = placed.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("is"), word).otherwise(F.col("segment")).alias("p")))).alias("ps"))
-    rebuilt = pieces.select("_digest", F.array_join(F.transform("ps", lambda x: x["p"]), "").alias(out))
-    return pending.join(rebuilt, "_digest", "left").drop("_digest").unionByName(rows.where(~held).withColumn(out, F.col(text)))
+    rebuilt = pieces.select("_digest", F.array_join(F.transform("ps", lambda x: x["p"]), "").alias("_rebuilt"))
+    for c, out in columns.items():
+        key = F.when(held(c), F.sha2(c, 256)).otherwise(F.concat(F.lit("-"), F.xxhash64(c).cast("string")))  # texts that stay meet nothing, but not all in one task
+        rows = rows.withColumn("_digest", key).join(rebuilt, "_digest", "left").withColumn(out, F.when(held(c), F.col("_rebuilt")).otherwise(F.col(c))).drop("_digest", "_rebuilt")
+    return rows
+
+
+def romanized(rows: DataFrame, text: str, table: DataFrame, chars: str = CJK, out: str = "romanized") -> DataFrame:
+    """As romanize_all, of one column."""
+    return romanize_all(rows, {text: out}, table, chars)
 
 
 def translated(text: Column, rules: Sequence[tuple[str, str]], glossary: Sequence[tuple[str, str]], chars: str = CJK, rescan: bool = True) -> Column:
@@ -79,11 +88,12 @@ def translated(text: Column, rules: Sequence[tuple[str, str]], glossary: Sequenc
     return F.struct(F.when(text == "", text).otherwise(out).alias("text"), F.when(text == "", True).otherwise(~out.rlike(f"[{chars}]")).alias("ok"))
 
 
-def translate_rows(rows: DataFrame, text: str, rules: Sequence[tuple[str, str]], glossary: Sequence[tuple[str, str]], table: DataFrame, chars: str = CJK, rescan: bool = True) -> DataFrame:
-    """The rows with `<text>_translated` and `<text>_ok`: the glossary's work, and where it leaves some of the script, that in syllables and not ok."""
-    done, ok = f"{text}_translated", f"{text}_ok"
-    folded = rows.withColumn("_t", translated(F.col(text), rules, glossary, chars, rescan)).withColumns({"_folded": F.col("_t.text"), ok: F.col("_t.ok")}).drop("_t")
-    return romanized(folded, "_folded", table, chars, done).drop("_folded")
+def translate_rows(rows: DataFrame, texts: str | Sequence[str], rules: Sequence[tuple[str, str]], glossary: Sequence[tuple[str, str]], table: DataFrame, chars: str = CJK, rescan: bool = True) -> DataFrame:
+    """The rows with `<text>_translated` and `<text>_ok` for each text: the glossary's work, and where it leaves some of the script, that in syllables and not ok."""
+    texts = [texts] if isinstance(texts, str) else list(texts)
+    for c in texts:
+        rows = rows.withColumn("_t", translated(F.col(c), rules, glossary, chars, rescan)).withColumns({f"_folded_{c}": F.col("_t.text"), f"{c}_ok": F.col("_t.ok")}).drop("_t")
+    return romanize_all(rows, {f"_folded_{c}": f"{c}_translated" for c in texts}, table, chars).drop(*(f"_folded_{c}" for c in texts))
 
 
 def region_rows(rows: DataFrame, text: str, regions: Sequence[tuple[str, str]], suffixes: Sequence[str], table: DataFrame, chars: str = CJK) -> DataFrame:

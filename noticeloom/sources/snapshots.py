@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of the shared folder, read back: what is used several times is worked out once, and lost executors cost no recomputation."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def landed_pages(spark: SparkSession, path: str) -> DataFrame:
     """(url, body) of files as they were fetched; bytes that are no UTF-8 become the replacement character."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

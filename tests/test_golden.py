@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import text as X
 from noticeloom.operators import access, dedup, marts, records, rules, snapshot, translate
+from noticeloom.sources.profiles import KANC_ROW
 
 
 def one(spark, column, **values):
@@ -13,11 +14,10 @@ def one(spark, column, **values):
 
 
 def test_records_span_lines(spark):
-    html = '<td class="hide">12</td><td class="list_title"><a href="/x?cid=345&amp;hcid=38">반도체 <b>식각</b> 장비 구매</a></td>\n<td class="list_date">2026.07.01</td>'
-    pattern = r'(?s)<td class="hide">(\d+)</td>.*?cid=(\d+)&amp;hcid=38">(.*?)</a>.*?<td class="list_date">([\d.]+)</td>'
-    rows = records.regex_records(spark.createDataFrame([(html,)], "body string"), "body", pattern, ["no", "cid", "title", "list_date"])
+    html = '<td class="hide">12</td><td class="list_title"><a href="/x?cid=345&amp;hcid=38">반도체 <b>식각</b> 장비 구매</a></td>\n<td class="list_date">2026.03.09</td>'
+    rows = records.regex_records(spark.createDataFrame([(html,)], "body string"), "body", KANC_ROW, ["no", "cid", "title", "list_date"])
     r = rows.select("cid", X.strip_tags(F.col("title")).alias("title"), X.dotted_date(F.col("list_date")).alias("d")).first()
-    assert (r.cid, r.title, r.d) == ("345", "반도체 식각 장비 구매", "2026-07-01")
+    assert (r.cid, r.title, r.d) == ("345", "반도체 식각 장비 구매", "2026-03-09")
 
 
 def test_verdicts(spark):
@@ -33,21 +33,21 @@ def test_short_terms_are_words(spark):
 
 
 def test_due_date_skips_dates_before_registration(spark):
-    text = "의견마감일시 2025-06-29 공고기간 : 2026.06.24 - 2026.07.08"
+    text = "의견마감일시 2025-03-11 공고기간 : 2026.03.02 - 2026.03.19"
     c = [X.date_parts(F.col("t"), r"의견마감일시\s*(\d{4})-(\d{1,2})-(\d{1,2})"), X.date_parts(F.col("t"), r"-\s+(\d{4})\.(\d{1,2})\.(\d{1,2})")]
-    assert one(spark, X.first_candidate(c, F.lit("2026-06-24")), t=text) == "2026-07-08"
-    assert one(spark, X.first_candidate(c, F.lit(None).cast("string")), t=text) == "2025-06-29"
+    assert one(spark, X.first_candidate(c, F.lit("2026-03-02")), t=text) == "2026-03-19"
+    assert one(spark, X.first_candidate(c, F.lit(None).cast("string")), t=text) == "2025-03-11"
     assert one(spark, X.first_candidate(c, F.lit(None).cast("string")), t="none") is None
 
 
 def test_budgets(spark):
-    assert one(spark, X.budget_after_label(F.col("t"), "사업예산"), t="사업예산 : USD 500,000 / KRW 704,573,000") == 704573000
+    assert one(spark, X.budget_after_label(F.col("t"), "사업예산"), t="사업예산 : USD 31,250 / KRW 41,870,500") == 41870500
     both = X.budget_any_currency(F.col("t"), ["사업예산", "배정예산"], ["사업예산", "배정예산"], "원")
-    assert tuple(one(spark, both, t="배정예산 : JPY(¥) 150,000,000")) == (150000000, "JPY")
-    assert tuple(one(spark, both, t="사업예산 : 125,400,000원(VAT 포함)")) == (125400000, "KRW")
+    assert tuple(one(spark, both, t="배정예산 : JPY(¥) 8,420,000")) == (8420000, "JPY")
+    assert tuple(one(spark, both, t="사업예산 : 63,910,000원(VAT 포함)")) == (63910000, "KRW")
     unit = X.budget_with_unit(F.col("t"), ["采购预算", "预算金额"])
-    assert tuple(one(spark, unit, t="预算金额：500万元")) == (5000000, "CNY")
-    assert tuple(one(spark, unit, t="采购预算：12,000")) == (12000, "CNY")
+    assert tuple(one(spark, unit, t="预算金额：37万元")) == (370000, "CNY")
+    assert tuple(one(spark, unit, t="采购预算：9,450")) == (9450, "CNY")
     assert one(spark, unit, t="采购预算：1.2.3 元") is None
 
 
@@ -133,3 +133,19 @@ def test_shares(spark):
 def test_message_skips_what_is_missing(spark):
     text = snapshot.message(F.lit(None).cast("string"), F.lit("S"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.array(F.lit("x"), F.lit("y")), F.lit("u"))
     assert one(spark, text, t="x") == "(untitled)\nS\nx, y\nu"
+
+
+def test_labelled_values_by_position(spark):
+    text = lambda t: one(spark, X.labelled_text(F.col("t"), "Terms", 20), t=t)
+    assert text("Terms of use; Terms: open bid 3) next Terms : no") == "open bid"  # the first mention has no colon
+    assert text("Terms : one two three four five six") == "one two three four"
+    assert text("Terms : " + "x" * 30) == "x" * 20 and text("Terms : 12345 6789 123456789 q") == "12345 6789" and text("Terms : ") is None and text("none") is None
+    near = lambda t: one(spark, X.labelled_text_near(F.col("t"), "Place", r"\s[a-z]\.\s", 15, 20), t=t)
+    assert near("Place of work： Hall 3 b. Method : open") == "Hall 3" and near("Place far from any colon : x") is None
+    field = lambda t: one(spark, X.field_until_label(F.col("t"), "Org", "[A-Z][a-z]{2,9}", 12), t=t)
+    assert field("Org none Org：Acme Ltd Kind：x") == "Acme Ltd" and field("Org: to the end") == "to the end" and field("Org: longer than twelve Kind: y") is None
+    money = lambda t: one(spark, X.budget_any_currency(F.col("t"), ["Plan", "Price"], ["Plan"], "won"), t=t)
+    assert tuple(money("Plan : EUR（net） 1,200 Price: 77 won")) == (77, "KRW") and tuple(money("Plan : EUR（net） 1,200")) == (1200, "EUR")
+    assert money("Plan : GBP(net) 5") is None and money("Plan : EUR 5") is None and tuple(money("Plan : USD($ 9,000")) == (9000, "USD")
+    krw = lambda t: one(spark, X.budget_after_label(F.col("t"), "Budget"), t=t)
+    assert krw("Budget K / KRW 5") is None and krw("Budget " + "." * 80 + " KRW 5") is None and krw("Budget: KRW 0, Budget: KRW 1,500") == 1500
