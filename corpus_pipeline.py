@@ -36,9 +36,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: that with the least doc_id. Rows without doc_id stay."""
-    dropped = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(materialize(dropped, "near-copies"), "doc_id", "left_anti")
+    """One document of each class of near copies: that with the least doc_id, without doc_id only where no other has one. A document is a text with its
+    doc_id: of texts that share a doc_id each stays or goes by itself; rows that repeat both go together."""
+    found = near_dedup.near_duplicates(docs)
+    dropped = materialize(found.where("not kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct(), "near-copies")
+    keyed = docs.select(*COLUMNS).withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return keyed.join(dropped, keyed["doc_id"].eqNullSafe(dropped["id"]) & (keyed["sha"] == dropped["sha"]), "left_anti").drop("sha")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
