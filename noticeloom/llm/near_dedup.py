@@ -30,7 +30,7 @@ from noticeloom.llm.components import components
 WORDS = 5
 SIMILARITY = 0.8
 #: Random orders of k-mers; of the LEAST first k-mers of each, every KMERS[0] make a sketch.
-ORDERS = 28
+ORDERS = 26
 LEAST = 3
 KMERS = (2,)
 SMALL = 24
@@ -94,8 +94,8 @@ def sketch(hashes: np.ndarray, size: int = KMERS[0], orders: int = ORDERS) -> np
     return np.concatenate(keys).astype("int64")
 
 
-def sketches(nodes: DataFrame, size: int) -> DataFrame:
-    """(node, bucket): the sketches of each row (node, text) that has a word."""
+def sketch_lists(nodes: DataFrame, size: int) -> DataFrame:
+    """(node, buckets): the sketches of each row (node, text) that has a word."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,9 +103,15 @@ def sketches(nodes: DataFrame, size: int) -> DataFrame:
             found = [sketch(values[a:b], size) for a, b in zip(offsets[:-1], offsets[1:]) if b > a]
             ids = batch["node"].to_numpy(zero_copy_only=False)[np.diff(offsets) > 0]
             if found:
-                yield pa.RecordBatch.from_pydict({"node": np.repeat(ids, [len(f) for f in found]), "bucket": np.concatenate(found)})
+                ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype("int32")
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "buckets"])
+
+    return nodes.select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).mapInArrow(of, "node long, buckets array<long>")
 
-    return nodes.select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).mapInArrow(of, "node long, bucket long")
+
+def sketches(nodes: DataFrame, size: int) -> DataFrame:
+    """(node, bucket): the same, a row each."""
+    return sketch_lists(nodes, size).select("node", F.explode("buckets").alias("bucket"))
 
 
 def _filled(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, band: int) -> np.ndarray:
@@ -290,8 +296,8 @@ def _open(named: DataFrame) -> DataFrame:
 
 
 def _pairs_apart(open_: DataFrame) -> DataFrame:
-    """The pairs (a, b), a > b, of different labels in buckets of up to SMALL members."""
-    mine = open_.where(F.col("size") <= SMALL)
+    """The pairs (a, b), a > b, of different labels in small buckets."""
+    mine = open_
     other = mine.select(F.col("bucket").alias("bucket2"), F.col("node").alias("b"), F.col("label").alias("lb"))
     return mine.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("node") > F.col("b")) & (F.col("label") != F.col("lb"))).select(F.col("node").alias("a"), "b").distinct()
 
@@ -402,19 +408,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         docs = docs.withColumn("id", F.col("doc_id"))
     firsts = materialize(keys.groupBy("key").agg(F.min("id").alias("node")), "firsts")
     present = docs.select(F.col("id").alias("node"), "text")
-    rows = materialize(sketches(present, KMERS[0]).join(firsts.select("node").distinct(), "node", "left_semi"), "sketches")
+    lists = materialize(sketch_lists(present, KMERS[0]).join(firsts.select("node").distinct(), "node", "left_semi"), "sketches")
+    rows = lists.select("node", F.explode("buckets").alias("bucket"))
     buckets = materialize(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1"), "buckets")
     members = materialize(rows.join(buckets, "bucket"), "members")
     nodes = materialize(present.join(materialize(members.select("node").distinct(), "wanted"), "node", "left_semi"), "candidates")
     led = materialize(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
     links = materialize(verified(led, nodes), "verified")
-    open_ = _open(_named(members.where("size > 2").drop("lead"), components(links)))
+    open_ = _open(_named(members.where((F.col("size") > 2) & (F.col("size") <= SMALL)).drop("lead"), components(links)))
     more = materialize(_pairs_apart(open_).join(led, ["a", "b"], "left_anti"), "more-pairs")
     links = links.unionByName(materialize(verified(more, nodes), "more-verified"))
     roots = components(links)
-    wide = open_.where(F.col("size") > SMALL)
+    wide = members.where(F.col("size") > SMALL).drop("lead")
     if not wide.isEmpty():
-        again = _open(_named(wide.drop("label"), roots)).select("node").distinct()
+        again = _open(_named(wide, roots)).select("node").distinct()
         pairs = materialize(rare_pairs(nodes.join(again, "node", "left_semi"), roots), "rare-pairs")
         sizes = materialize(pairs.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "rare-sizes")
         open_ = _open(pairs.join(sizes, "bucket"))
