@@ -38,3 +38,22 @@ def union_sources(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
         part = df.withColumn("source_rank", F.lit(rank))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+def page_ends(pages: DataFrame, list_key: str, page_no: str, n_rows: str, last_page: str, most: int) -> DataFrame:
+    """The pages of each list that are read: up to `most`, before the first empty one, and up to the last page that the list itself names on any page read before."""
+    capped = pages.where(F.col(page_no) <= most)
+    filled = take_while(capped, list_key, F.coalesce(F.col(n_rows) == 0, F.lit(True)), page_no)
+    # A page that names itself, or an earlier one, as the last ends the list behind it.
+    ends = filled.where(F.col(page_no) >= F.col(last_page)).groupBy(F.col(list_key).alias("_list")).agg(F.min(page_no).alias("_end"))
+    joined = filled.join(ends, F.col(list_key).eqNullSafe(F.col("_list")), "left")
+    return joined.where(F.col("_end").isNull() | (F.col(page_no) <= F.col("_end"))).drop("_list", "_end")
+
+
+def across_lists(lists: Sequence[DataFrame], key: str, fetched: Column, *order: str) -> DataFrame:
+    """Rows of several lists in turn: of those that are fetched the first of each key, so that a list skips what an earlier one has fetched; a row that isn't fetched spends no key."""
+    every = None
+    for rank, rows in enumerate(lists):
+        part = rows.withColumn("list_rank", F.lit(rank))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    return first_by(every.where(fetched), [key], "list_rank", *order)

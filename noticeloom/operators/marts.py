@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,29 @@ def shortlist(rows: DataFrame, key: str, due: str, new: Column, as_of: Column, n
     return rows.withColumns({"priority": rank, "days": d}).orderBy("priority", F.col("days").asc_nulls_last(), key).limit(n)
 
 
+def region_bar(rows: DataFrame, country: Column, home: str) -> DataFrame:
+    """(domestic, overseas, domestic_pct, overseas_pct): whole percents that add up to 100; without rows all is overseas."""
+    n, own = F.count("*"), F.count_if(country == home)
+    pct = F.when(n > 0, F.floor(100 * own / n + 0.5)).otherwise(0).cast("long")
+    return rows.agg(own.alias("domestic"), (n - own).alias("overseas"), pct.alias("domestic_pct"), (100 - pct).cast("long").alias("overseas_pct"))
+
+
+def calendar_items(rows: DataFrame, key: str, due: str) -> DataFrame:
+    """Every distinct item with a due date, with the number of its day's items: a day's list is read by its date, and no day has to meet in one task."""
+    items = rows.where(F.col(key).isNotNull() & F.col(due).isNotNull()).dropDuplicates([key])
+    counts = items.groupBy(F.col(due).alias("_day")).agg(F.count("*").alias("day_n"))
+    return items.join(counts, F.col(due) == F.col("_day")).drop("_day")
+
+
+def calendar_page(spark: SparkSession, counts: DataFrame, month: str, today: str, selected: str | None) -> DataFrame:
+    """A row for every day of the month: its number of items, urgency, whether it is today or selected, the blanks before the 1st (Sunday first), and the months before and after."""
+    first, day = F.trunc(F.lit(month).cast("date"), "MM"), F.col("day")
+    grid = spark.range(1).select(month_grid(month).alias("day"))
+    rows = grid.join(counts.select("day", "n"), "day", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    chosen = F.coalesce(day == F.lit(selected).cast("date"), F.lit(False))
+    return rows.select("day", "n", urgency(days_until(day, F.lit(today).cast("date")), F.col("n")).alias("urgency"), (day == F.lit(today).cast("date")).alias("today"), chosen.alias("selected"), (F.dayofweek(first) - 1).alias("blanks"), F.add_months(first, -1).alias("previous_month"), F.add_months(first, 1).alias("next_month"))
+
+
 def month_grid(month: str) -> Column:
     first = F.lit(month).cast("date")
     return F.explode(F.sequence(F.trunc(first, "MM"), F.last_day(first)))

@@ -32,4 +32,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return register
 
 
-from noticeloom.plans import q_access, q_classify, q_dedup, q_extract, q_marts, q_snapshot, q_stream, q_translate  # noqa: E402, F401
+from noticeloom.plans import q_access, q_classify, q_collect, q_dedup, q_extract, q_marts, q_snapshot, q_stream, q_translate  # noqa: E402, F401

@@ -76,3 +76,20 @@ def subscription_match(t: Tables) -> DataFrame:
     wanted = t.spark.createDataFrame([("u1", "PROMO"), ("u1", "SMALL")], "user_id string, keyword string")
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.join(wanted, F.col("p_type") == F.col("keyword")).select("l_orderkey", "l_linenumber", "l_partkey", "p_type")
+
+
+@query("page_ends", """WITH p AS (SELECT conv_id, turn, length(text) % 9 AS n, CASE WHEN conv_id % 3 = 0 THEN 2 + conv_id % 4 END AS last_page FROM conversations WHERE turn <= 5),
+a AS (SELECT *, max(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER w AS stop FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, min(CASE WHEN turn >= last_page THEN turn END) OVER (PARTITION BY conv_id) AS last FROM a WHERE stop = 0) SELECT conv_id, turn FROM b WHERE last IS NULL OR turn <= last""")
+def page_ends(t: Tables) -> DataFrame:
+    """Lists of pages: conversations, whose turns have rows, or none, and some of which name their last page."""
+    pages = t.conversations.select("conv_id", "turn", (F.length("text") % 9).alias("n"), F.when(F.col("conv_id") % 3 == 0, 2 + F.col("conv_id") % 4).alias("last_page"))
+    return D.page_ends(pages, "conv_id", "turn", "n", "last_page", 5).select("conv_id", "turn")
+
+
+@query("dedup_over_lists", """WITH l AS (SELECT o_custkey, o_orderkey, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS list_rank FROM orders WHERE o_orderstatus IN ('F', 'O')),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY list_rank, o_orderkey) AS k FROM l WHERE o_totalprice > 150000) SELECT o_custkey, o_orderkey, list_rank FROM r WHERE k = 1""")
+def dedup_over_lists(t: Tables) -> DataFrame:
+    """Two lists in turn; rows below the price aren't fetched and leave their customer to later ones."""
+    lists = [t.orders.where(F.col("o_orderstatus") == s).select("o_custkey", "o_orderkey", "o_totalprice") for s in ("F", "O")]
+    return D.across_lists(lists, "o_custkey", F.col("o_totalprice") > 150000, "o_orderkey").select("o_custkey", "o_orderkey", "list_rank")

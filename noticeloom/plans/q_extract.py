@@ -224,3 +224,16 @@ def compose_description(t: Tables) -> DataFrame:
 def canonical_projection(t: Tables) -> DataFrame:
     wide = project(t.orders, id=F.concat(F.lit("ord"), F.col("o_orderkey").cast("string")), source_code=F.col("o_orderpriority"), notice_type=F.col("o_orderstatus"), due_date=F.col("o_orderdate").cast("date"))
     return wide.select("id", "source_code", "notice_type", "due_date", "title")
+
+
+_PLACE_SQL = "'Fair venue of ' || c_name || ' : ' || CASE c_nationkey % 4 WHEN 0 THEN 'abroad or at home' WHEN 1 THEN 'at home' WHEN 2 THEN repeat('.', 60) || ' abroad' ELSE '-' END"
+
+
+@query("location_hint", f"SELECT c_custkey, CASE WHEN contains(w, 'abroad') THEN 'Overseas (check)' WHEN contains(w, 'home') THEN 'Home' ELSE 'check' END AS country, CASE WHEN NOT contains(w, 'abroad') AND contains(w, 'home') THEN 'HM' END AS iso FROM (SELECT c_custkey, substring(x, instr(x, 'venue'), 60) AS w FROM (SELECT c_custkey, {_PLACE_SQL} AS x FROM customer))")
+def location_hint(t: Tables) -> DataFrame:
+    """The country from the words near a label, abroad before home; words that are farther away don't count."""
+    kind = F.element_at(F.array(F.lit("abroad or at home"), F.lit("at home"), F.concat(F.repeat(F.lit("."), 60), F.lit(" abroad")), F.lit("-")), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("Fair venue of "), F.col("c_name"), F.lit(" : "), kind)
+    hint = X.location_hint(text, "venue", [("overseas", "abroad"), ("home", "home")])
+    c = X.resolve_country(F.array().cast("array<string>"), {"C1": "N1"}, hint, ("Home", "HM"), "Overseas (check)", "check")
+    return t.customer.select("c_custkey", c["name"].alias("country"), c["iso"].alias("iso"))

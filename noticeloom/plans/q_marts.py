@@ -207,3 +207,33 @@ def thousands_format(t: Tables) -> DataFrame:
 def safe_date(t: Tables) -> DataFrame:
     raw = F.when(F.col("o_orderkey") % 3 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     return t.orders.select("o_orderkey", raw.alias("raw"), X.safe_date(raw).alias("due"))
+
+
+@query("region_bar", f"SELECT d AS domestic, n - d AS overseas, p AS domestic_pct, 100 - p AS overseas_pct FROM (SELECT count(*) AS n, count(*) FILTER (r_name = 'AMERICA') AS d, CAST(coalesce(floor(100 * count(*) FILTER (r_name = 'AMERICA') / nullif(count(*), 0) + 0.5), 0) AS BIGINT) AS p FROM {_PLACED} WHERE {_OPEN})")
+def region_bar(t: Tables) -> DataFrame:
+    return M.region_bar(placed(t).where(M.is_open(_due(), _as_of())), F.col("r_name"), "AMERICA")
+
+
+@query("calendar_items", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS due_date, count(*) OVER (PARTITION BY CAST(o_orderdate AS DATE)) AS day_n FROM orders WHERE o_orderdate IS NOT NULL")
+def calendar_items(t: Tables) -> DataFrame:
+    """The items of every day, not only their number."""
+    return M.calendar_items(t.orders.select("o_orderkey", _due().alias("due_date")), "o_orderkey", "due_date")
+
+
+@query("calendar_page", """WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), g AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '1998-07-01', DATE '1998-07-31', INTERVAL 1 DAY) s(d))
+SELECT day, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN date_diff('day', DATE '1998-07-12', day) <= 3 THEN 'urgent' WHEN date_diff('day', DATE '1998-07-12', day) <= 7 THEN 'soon' ELSE 'normal' END AS urgency,
+day = DATE '1998-07-12' AS today, day = DATE '1998-07-20' AS selected, CAST(3 AS INTEGER) AS blanks, DATE '1998-06-01' AS previous_month, DATE '1998-08-01' AS next_month FROM g LEFT JOIN c USING (day)""")
+def calendar_page(t: Tables) -> DataFrame:
+    """A month with the day of today, a selected day, and the months beside it."""
+    counts = t.orders.groupBy(_due().alias("day")).agg(F.count("*").alias("n"))
+    return M.calendar_page(t.spark, counts, "1998-07-12", "1998-07-12", "1998-07-20")
+
+
+_CODE = "CASE o_orderkey % 4 WHEN 0 THEN 'KRW' WHEN 1 THEN 'CNY' WHEN 2 THEN 'USD' ELSE 'EUR' END"
+_COMMAS = "format('{:,}', CAST(floor(o_totalprice) AS BIGINT))"
+
+
+@query("budget_display", f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN {_COMMAS} || '원' WHEN 1 THEN {_COMMAS} || '元' WHEN 2 THEN '$' || {_COMMAS} ELSE 'EUR ' || {_COMMAS} END AS budget FROM orders")
+def budget_display(t: Tables) -> DataFrame:
+    code = F.element_at(F.array(*map(F.lit, ("KRW", "CNY", "USD", "EUR"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return t.orders.select("o_orderkey", X.budget_display(F.floor("o_totalprice"), code).alias("budget"))

@@ -84,7 +84,8 @@ def with_rules(profile: SourceProfile, verdicts: DataFrame, categories: DataFram
 
 def list_rows(profile: SourceProfile, pages: DataFrame) -> DataFrame:
     """The rows of list pages (list_key, page_no, body), with their place; rows without key or title are left out."""
-    return profile.rows(pages).withColumn("title", X.strip_tags(F.col("title"))).where("title <> '' and key <> ''")
+    rows = profile.rows(pages)
+    return rows.withColumns({"title": X.strip_tags(F.col("title")), "key": F.col("key").cast("string")}).where("title <> '' and key <> ''")
 
 
 def pattern_rows(pattern: str, fields: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
