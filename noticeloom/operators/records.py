@@ -11,9 +11,9 @@ from noticeloom.functions import text as X
 
 
 def regex_records(pages: DataFrame, body: str, pattern: str, fields: Sequence[str], *keep: str) -> DataFrame:
-    """One row for each match: pos and the groups under the names of fields."""
-    zipped = F.arrays_zip(*(X.all_matches(F.col(body), pattern, i + 1).alias(f) for i, f in enumerate(fields)))
-    return pages.select(*keep, F.posexplode(zipped).alias("pos", "_r")).select(*keep, "pos", *(F.col(f"_r.{f}").alias(f) for f in fields))
+    """One row for each match: pos and the groups under the names of fields. The page is searched once, groups are read from each match, so a pattern may not depend on what stands around it."""
+    matches = pages.select(*keep, F.posexplode(X.all_matches(F.col(body), pattern, 0)).alias("pos", "_m"))
+    return matches.select(*keep, "pos", *(F.regexp_extract("_m", pattern, i + 1).alias(f) for i, f in enumerate(fields)))
 
 
 def block_records(pages: DataFrame, body: str, marker: str, fields: dict[str, str], required: str, *keep: str) -> DataFrame:
@@ -24,11 +24,12 @@ def block_records(pages: DataFrame, body: str, marker: str, fields: dict[str, st
 
 
 def label_map(text: Column, pattern: str) -> Column:
-    """Labels to values; of equal labels the later wins."""
-    rows = F.arrays_zip(X.all_matches(text, pattern, 1).alias("k"), X.all_matches(text, pattern, 2).alias("v"))
-    n = F.size(rows)
-    last = F.filter(rows, lambda x, i: ~F.exists(F.slice(rows, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    """Labels to values; of equal labels the later wins: in the order of label and place it is the one whose neighbour has another label."""
+    pairs = F.arrays_zip(X.all_matches(text, pattern, 1).alias("k"), X.all_matches(text, pattern, 2).alias("v"))
+    placed = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), i.alias("at"), x["v"].alias("v"))))
+    following = F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1)))
+    last = F.zip_with(placed, following, lambda x, y: F.when(y.isNull() | (y["k"] != x["k"]), F.struct(x["k"].alias("k"), x["v"].alias("v"))))
+    return F.map_from_entries(F.array_compact(last))
 
 
 def payload_rows(payloads: DataFrame, body: str, schema: str, *keep: str) -> DataFrame:
