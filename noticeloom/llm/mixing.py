@@ -55,7 +55,7 @@ leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens,
 whole AS (SELECT least(sum(cap), sum(tokens) * {BUDGET_PERCENT} // 100) AS total FROM leaf),
 {", ".join(_level_sql(n).replace("DIV(rest * w, wrest)", "rest * w // wrest") for n in (1, 2, 3))},
 taken AS (SELECT domain, lang, source, CASE WHEN tokens = 0 THEN 0 ELSE budget // tokens END AS full_epochs, CASE WHEN tokens = 0 THEN 0 ELSE budget % tokens END AS prefix FROM b3 JOIN leaf USING (domain, lang, source)),
-ordered AS (SELECT p.*, full_epochs, prefix, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || CAST(full_epochs AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, text_md5) - n_tokens AS before FROM placed p JOIN taken USING (domain, lang, source))
+ordered AS (SELECT p.*, full_epochs, prefix, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || CAST(full_epochs AS BIGINT) || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_md5), doc_id, text_md5) - n_tokens AS before FROM placed p JOIN taken USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, CAST(full_epochs AS BIGINT) AS full_epochs, CAST(greatest(0, least(n_tokens, prefix - before)) AS BIGINT) AS prefix_tokens, CAST(full_epochs * n_tokens + greatest(0, least(n_tokens, prefix - before)) AS BIGINT) AS taken_tokens FROM ordered
 """
 
@@ -88,8 +88,8 @@ def leaf_budgets(leaves: DataFrame, total: int) -> DataFrame:
 
 
 def _order(epoch: Column) -> Column:
-    """A document's place in an epoch: 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit(f"{SEED}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    """A document's place in an epoch: 32 hexadecimal digits, drawn by id and text, so that rows which share an id or have none lie apart."""
+    return F.md5(F.concat(F.lit(f"{SEED}:"), epoch.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text_md5"))
 
 
 def mixed(documents: DataFrame, domain: str = DOMAIN, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -97,7 +97,7 @@ def mixed(documents: DataFrame, domain: str = DOMAIN, budget_percent: int = BUDG
 
     A document comes full_epochs times whole and once more with its first prefix_tokens tokens (0: not again). The last
     document of a leaf's prefix is the only one that may be cut. Null lang and source count as '', an empty text has no
-    tokens and takes part with none; documents with equal doc_ids follow each other in the order, by the hash of their texts. Weights are whole
+    tokens and takes part with none; rows that share a doc_id, or have none, are documents by their texts. Weights are whole
     numbers; up to 10 ** 18 tokens in all.
 
     A leaf may hold any share of the rows: its prefix is found from sums over about the square root of its number of
