@@ -25,14 +25,14 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: Characters that the models know; a run of them is scored if it has at least MARKOV_LEAST.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 MARKOV = r"[A-Za-z0-9+/_-]+"
-MARKOV_LEAST = 20
+MARKOV_LEAST = 12
 #: A run is a secret from this sum of log ratios on.
 THRESHOLD = 8.0
 #: Training rows of each label at most (those with the least hash), and about how many documents they come from: random ones, ordinary ones.
 SAMPLE_ROWS = 20_000
 RANDOM_DOCUMENTS = 20_000
 SAMPLE_DOCUMENTS = 2_000
-#: Weight of a character's own share in its transitions.
+#: Weight of what is expected before any sample in a character's transitions: for random strings all characters alike, for ordinary ones their own shares.
 PRIOR = 8.0
 
 
@@ -54,7 +54,7 @@ def spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Column
     rank = KINDS.index(kind)
     empty = F.array().cast("array<struct<start:long,rank:int,end:long,value:string>>")
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    value = F.transform(whole, lambda w: F.regexp_extract(w, pattern, group)) if group else whole
     gaps = F.split(text, pattern, -1)
     sizes = F.zip_with(gaps, whole, lambda g, m: (F.length(g) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
     ends = F.zip_with(_running(sizes), sizes, lambda a, b: a + b)
@@ -98,7 +98,7 @@ def train(samples: DataFrame) -> list[float]:
     models = []
     for label in (True, False):
         into = [sum(counts.get((label, a + b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET]
-        share = [n / sum(into) for n in into]  # a pair never seen has the share of its second character
+        share = [1 / len(ALPHABET) if label else n / sum(into) for n in into]  # of a pair never seen
         rows = [[counts.get((label, a + b), 0) + PRIOR * p for b, p in zip(ALPHABET, share)] for a in ALPHABET]
         models.append([log(x / sum(row)) for row in rows for x in row])
     return [x - y for x, y in zip(*models)]
