@@ -29,6 +29,19 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) after further links (a, b): only the links between the components there are take part, each component as one node."""
+    label = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    named = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    between = materialize(named.where("a <> b").distinct(), "between")
+    if between.isEmpty():
+        return roots
+    more = components(between)
+    further = more.select(F.col("node").alias("root"), F.col("root").alias("above"))
+    moved = roots.join(further, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    return materialize(moved.unionByName(more), "roots")  # a node of `more` was a root, so it has no row yet
+
+
 def _mark(links: DataFrame) -> tuple:
     """A number of links and a sum of their hashes: equal exactly if nothing changed, but for chance."""
     return tuple(links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())

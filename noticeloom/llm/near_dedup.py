@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeloom.llm.common import materialize, table, texts
-from noticeloom.llm.components import components
+from noticeloom.llm.components import components, extended
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -414,11 +414,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = materialize(rows.join(buckets, "bucket"), "members")
     nodes = materialize(present.join(materialize(members.select("node").distinct(), "wanted"), "node", "left_semi"), "candidates")
     led = materialize(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    links = materialize(verified(led, nodes), "verified")
-    open_ = _open(_named(members.where((F.col("size") > 2) & (F.col("size") <= SMALL)).drop("lead"), components(links)))
+    roots = components(materialize(verified(led, nodes), "verified"))
+    open_ = _open(_named(members.where((F.col("size") > 2) & (F.col("size") <= SMALL)).drop("lead"), roots))
     more = materialize(_pairs_apart(open_).join(led, ["a", "b"], "left_anti"), "more-pairs")
-    links = links.unionByName(materialize(verified(more, nodes), "more-verified"))
-    roots = components(links)
+    roots = extended(roots, materialize(verified(more, nodes), "more-verified"))
     wide = members.where(F.col("size") > SMALL).drop("lead")
     if not wide.isEmpty():
         again = _open(_named(wide, roots)).select("node").distinct()
@@ -429,7 +428,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         few = materialize(_rare_candidates(open_).join(tried, ["a", "b"], "left_anti"), "rare-candidates")
         few = materialize(verified(few, nodes), "rare-verified")
         many = _across(_families(open_.where(F.col("size") > MIDDLE).drop("n")), nodes)
-        roots = components(links.unionByName(few).unionByName(materialize(many, "across")))
+        roots = extended(roots, few.unionByName(materialize(many, "across")))
     named = materialize(firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class")), "named")
     sized = materialize(keys.join(named, "key").select("doc_id", "key", "class"), "sized")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key"))

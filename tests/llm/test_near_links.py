@@ -64,7 +64,7 @@ def variants(rng, n, edits):
 def test_large_families_of_edited_copies(spark):
     """Pairwise similarity about 0.75 to 0.85: most pairs do not agree on longer sketches."""
     rng = random.Random(12)
-    rows = [(g * 1000 + c, " ".join(t)) for g, edits in enumerate((10, 11, 12)) for c, t in enumerate(variants(rng, 140, edits))]
+    rows = [(g * 1000 + c, " ".join(t)) for g, edits in enumerate((11, 12, 13)) for c, t in enumerate(variants(rng, 140, edits))]
     expected, largest = classes(spark, rows)
     assert largest > 2 * near_dedup.SMALL and 4 < len(set(expected.values())) < len(rows)
     assert holds(spark, rows)

@@ -222,6 +222,10 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: r for n, r in root.items() if r != n}
+    pair = lambda ls: spark.createDataFrame(ls, "a long, b long")
+    for cut in (0, 90, len(links)):
+        grown = components.extended(components.components(pair(links[:cut])), pair(links[cut:]))
+        assert {r.node: r.root for r in grown.collect()} == got and grown.count() == len(got)
 
 
 @pytest.mark.parametrize(("small", "kmers"), [(near_dedup.SMALL, near_dedup.KMERS), (2, near_dedup.KMERS), (2, (2,))])
