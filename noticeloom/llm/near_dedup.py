@@ -16,6 +16,7 @@ a sketch stay untested unless a chain of links joins them or exact bounds on edi
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,10 @@ ORDERS = 26
 LEAST = 3
 KMERS = (2,)
 SMALL = 24
+#: Bins of the bags of words by which pairs are compared before their texts are; a power of two.
+BAG = 256
+#: Fixed value: what parts words, as SQL's \\s.
+BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 #: Buckets of rare word pairs whose members are paired where they lie, and the number of such buckets that two texts must share; members of larger ones are compared in blocks.
 MIDDLE = 256
 SHARED = 4
@@ -95,18 +100,21 @@ def sketch(hashes: np.ndarray, size: int = KMERS[0], orders: int = ORDERS) -> np
 
 
 def sketch_lists(nodes: DataFrame, size: int) -> DataFrame:
-    """(node, buckets): the sketches of each row (node, text) that has a word."""
+    """(node, buckets, n, bag): the sketches of each row (node, text) that has a word, its number of words, and how many of them fall in each of BAG bins."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = batch["words"].values.to_numpy(zero_copy_only=False), batch["words"].offsets.to_numpy()
-            found = [sketch(values[a:b], size) for a, b in zip(offsets[:-1], offsets[1:]) if b > a]
+            parts = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:]) if b > a]
             ids = batch["node"].to_numpy(zero_copy_only=False)[np.diff(offsets) > 0]
-            if found:
+            if parts:
+                found = [sketch(p, size) for p in parts]
                 ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype("int32")
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "buckets"])
+                bags = [np.minimum(np.bincount(p & (BAG - 1), minlength=BAG), 255).astype("uint8").tobytes() for p in parts]
+                columns = [pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))), pa.array([len(p) for p in parts], pa.int64()), pa.array(bags, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "buckets", "n", "bag"])
 
-    return nodes.select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).mapInArrow(of, "node long, buckets array<long>")
+    return nodes.select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).mapInArrow(of, "node long, buckets array<long>, n long, bag binary")
 
 
 def sketches(nodes: DataFrame, size: int) -> DataFrame:
@@ -213,18 +221,39 @@ def similar(pairs: list[tuple[list[str], list[str]]], least: float = SIMILARITY)
     return result
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; nodes has (node, text) of all of them."""
+def split_words(text: str) -> list[str]:
+    """As `words`, of one text."""
+    return [w for w in BLANKS.split(text.lower()) if w]
+
+
+def like(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bags (node, n, bag) don't rule a link out: an edit moves two words between bins at most. So texts that differ too much never travel."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "uint8").reshape(-1, BAG).astype("int16") for c in ("x", "y"))
+            longer = np.maximum(batch["na"].to_numpy(), batch["nb"].to_numpy())
+            near = np.abs(x - y).sum(1) <= 2 * (longer * (1 - SIMILARITY) + 1e-9).astype("int64")
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(near))
+
+    bag = lambda key, name: bags.select(F.col("node").alias(key), F.col("n").alias(f"n{key}"), F.col("bag").alias(name))
+    return pairs.join(bag("b", "y"), "b").join(bag("a", "x"), "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar; nodes has (node, text) of all of them, bags (node, n, bag)."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             part = np.cumsum(batch["x"].str.len() + batch["y"].str.len()) // PAIR_CHARS
             for _, rows in batch.groupby(part):
-                ok = similar([(x.lower().split(), y.lower().split()) for x, y in zip(rows["x"], rows["y"])])
+                ok = similar([(split_words(x), split_words(y)) for x, y in zip(rows["x"], rows["y"])])
                 yield rows[ok][["a", "b"]]
 
-    text = lambda key, name: nodes.select(F.col("node").alias(key), F.col("text").alias(name))
-    return pairs.join(text("b", "y"), "b").join(text("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    near = materialize(like(pairs, bags), "like")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    text = lambda key, name: nodes.join(wanted, "node", "left_semi").select(F.col("node").alias(key), F.col("text").alias(name))
+    return near.join(text("b", "y"), "b").join(text("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
 def rare_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -318,7 +347,7 @@ def _links_across(group: pd.DataFrame) -> pd.DataFrame:
     or of one block if i = j, is aligned unless it is joined by then, is handled in a lower bucket, or has lengths or too few shared words
     or word pairs that rule a link out (an edit changes one word and two of the word pairs at most).
     """
-    nodes, split, lower = group["node"].to_numpy(), [t.lower().split() for t in group["text"]], [set(x) for x in group["lower"]]
+    nodes, split, lower = group["node"].to_numpy(), [split_words(t) for t in group["text"]], [set(x) for x in group["lower"]]
     codes: dict[str, int] = {}
     padded = [np.array([0, *(codes.setdefault(w, len(codes) + 1) for w in ws), 0], "int64") for ws in split]
     lengths = np.array([len(ws) for ws in split])
@@ -409,15 +438,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     firsts = materialize(keys.groupBy("key").agg(F.min("id").alias("node")), "firsts")
     present = docs.select(F.col("id").alias("node"), "text")
     lists = materialize(sketch_lists(present, KMERS[0]).join(firsts.select("node").distinct(), "node", "left_semi"), "sketches")
-    rows = lists.select("node", F.explode("buckets").alias("bucket"))
+    rows, bags = lists.select("node", F.explode("buckets").alias("bucket")), lists.select("node", "n", "bag")
     buckets = materialize(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1"), "buckets")
     members = materialize(rows.join(buckets, "bucket"), "members")
     nodes = materialize(present.join(materialize(members.select("node").distinct(), "wanted"), "node", "left_semi"), "candidates")
     led = materialize(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    roots = components(materialize(verified(led, nodes), "verified"))
+    roots = components(materialize(verified(led, nodes, bags), "verified"))
     open_ = _open(_named(members.where((F.col("size") > 2) & (F.col("size") <= SMALL)).drop("lead"), roots))
     more = materialize(_pairs_apart(open_).join(led, ["a", "b"], "left_anti"), "more-pairs")
-    roots = extended(roots, materialize(verified(more, nodes), "more-verified"))
+    roots = extended(roots, materialize(verified(more, nodes, bags), "more-verified"))
     wide = members.where(F.col("size") > SMALL).drop("lead")
     if not wide.isEmpty():
         again = _open(_named(wide, roots)).select("node").distinct()
@@ -426,7 +455,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         open_ = _open(pairs.join(sizes, "bucket"))
         tried = led.unionByName(more)
         few = materialize(_rare_candidates(open_).join(tried, ["a", "b"], "left_anti"), "rare-candidates")
-        few = materialize(verified(few, nodes), "rare-verified")
+        few = materialize(verified(few, nodes, bags), "rare-verified")
         many = _across(_families(open_.where(F.col("size") > MIDDLE).drop("n")), nodes)
         roots = extended(roots, few.unionByName(materialize(many, "across")))
     named = materialize(firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class")), "named")
