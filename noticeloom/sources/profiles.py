@@ -243,6 +243,8 @@ KOTRA_CARD = row_form("</li>", ("dtlBizMntNo=", "word"), ("cpbizYn=N", "inner"))
 KRISS_ROW = row_form("</tr>", ("m_hidden", "inner"), ("list_no=", "number"), ("", "link"), ("<td>", "date"), ("<td>", "date"))
 EBNEW_BLOCK = {"tag": r"abstract-tag[^<>]*>\s*([^<]*?)\s*<", "key": r'href="[^"\d]*(\d+)', "title": r'title="([^"]*)"', "list_date": r"(\d{4}-\d{2}-\d{2})"}
 MOFCOM_PAYLOAD = "maxPageNum int, rows array<struct<fdid string, name string, digest string, publishTime string, createTime string, industryName string, areaName string>>"
+#: The form of a national bid number.
+BID_NUMBER = r"\b[A-Z]\d{2}[A-Z]{2}\d{8}-\d{3}\b"
 SIZE_NOTE = r"\s*\[[^\[\]]*B\s*\]\s*$"
 
 
@@ -358,5 +360,5 @@ register_source(SourceProfile(
 register_source(SourceProfile(
     "KRISS", "한국표준과학연구원", "KR", pattern_rows(KRISS_ROW, ["notice_no", "key", "title", "list_date", "due_day"]), "kriss", posted=lambda: X.slash_date(F.col("list_date")), due=lambda: X.slash_date(F.col("due_day")),
     verdicts=[("exclude_hard", HARD), ("include", ["반도체", "진공", "플라즈마", "펌프"]), ("exclude_service", ["청소", "시설관리"])], categories=_korean, default_category=SEMI, notice_types=[("사전규격", ["사전규격"])],
-    fields={"national_bid_no": lambda t: F.regexp_substr(t, F.lit(r"\b[A-Z]\d{2}[A-Z]{2}\d{8}-\d{3}\b"))}, page_fields={"attachments": kriss_files}, constants={"org": "한국표준과학연구원"},
+    fields={"national_bid_no": lambda t: F.regexp_substr(t, F.lit(BID_NUMBER))}, page_fields={"attachments": kriss_files}, constants={"org": "한국표준과학연구원"},
 ))
