@@ -25,7 +25,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: Characters that the models know; a run of them is scored if it has at least MARKOV_LEAST.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 MARKOV = r"[A-Za-z0-9+/_-]+"
-MARKOV_LEAST = 12
+MARKOV_LEAST = 20
 #: A run is a secret from this sum of log ratios on.
 THRESHOLD = 8.0
 #: Training rows of each label at most (those with the least hash), and about how many documents they come from: random ones, ordinary ones.

@@ -17,13 +17,13 @@ def trained(spark, rng, words):
 def test_spans_recall_and_precision(spark):
     rng = random.Random(21)
     syllables = ["tion", "ment", "the", "and", "lich", "keit", "ra", "se", "os", "er", "in", "Un"]
-    word = lambda: "".join(rng.choices(syllables, k=rng.randint(2, 5)))
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(2, 9)))
     ratios = trained(spark, rng, [word() for _ in range(4000)])
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     texts, planted = [], 0
     for k in range(300):
         parts = [word() for _ in range(60)]
-        for n in (12, 16, 24):
+        for n in (20, 24, 32):
             parts.insert(rng.randrange(len(parts)), "".join(rng.choice(letters) for _ in range(n)))
             planted += 1
         texts.append((k, " ".join(parts)))
@@ -33,7 +33,7 @@ def test_spans_recall_and_precision(spark):
     caught = wrong = ordinary = 0
     for r in secrets.find_secrets(spark.createDataFrame(texts, SCHEMA).repartition(4), ratios).collect():
         text = dict(texts)[r.doc_id] or ""
-        runs = list(re.finditer(r"[A-Za-z0-9+/_-]{12,}", text))
+        runs = list(re.finditer(rf"[A-Za-z0-9+/_-]{{{secrets.MARKOV_LEAST},}}", text))
         plain = [(m.start(), m.end()) for m in runs if score(m[0]) >= secrets.THRESHOLD]
         got = [(s.start, s.end) for s in r.found if s.rank == 3]
         assert got == plain, r.doc_id
@@ -42,4 +42,4 @@ def test_spans_recall_and_precision(spark):
             caught += len(secret & set(got))
             wrong += len(set(got) - secret)
             ordinary += len(runs) - len(secret)
-    assert caught >= 0.97 * planted and wrong <= 0.01 * ordinary and ordinary > 2000
+    assert caught >= 0.97 * planted and wrong <= 0.01 * ordinary and ordinary > 100
