@@ -256,30 +256,64 @@ def verified(pairs: DataFrame, nodes: DataFrame, bags: DataFrame) -> DataFrame:
     return near.join(text("b", "y"), "b").join(text("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
-def rare_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, n, label): each row (node, text) of n words under those of its rarest word pairs that another row has too; rare is what few rows have.
-    Labels are looked up once a row, before its pairs are dealt out.
-
-    Of a text's pairs, counted with their occurrences and the borders of the text, so many come that two texts whose edit
-    similarity is SIMILARITY or more share SHARED buckets at least, or all the pairs they have to share if these are fewer.
-    """
+def word_pairs(texts_: DataFrame) -> DataFrame:
+    """(node, n, label, pairs): the word pairs of each row (node, label, text) of n words, counted with their occurrences and the borders of the text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = batch["words"].values.to_numpy(zero_copy_only=False), batch["words"].offsets.to_numpy()
             parts = [_labelled(np.append(values[a:b], np.int64(0)).astype("uint64"), np.append(np.int64(0), values[a:b]).astype("uint64")) for a, b in zip(offsets[:-1], offsets[1:])]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("int32")
-            grams = np.concatenate(parts).astype("int64") if parts else np.zeros(0, "int64")
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(pa.array(ends), pa.array(grams))], names=["node", "grams"])
+            lists = _listed([p.astype("int64") for p in parts])
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(np.diff(offsets).astype("int64")), batch["label"], lists], names=["node", "n", "label", "pairs"])
+
+    listed = texts_.select("node", "label", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    return listed.mapInArrow(of, "node long, n long, label long, pairs array<long>")
+
+
+def _listed(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, "int64")))
 
-    listed = nodes.select("node", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).mapInArrow(of, "node long, grams array<long>")
-    each = materialize(listed.select("node", F.explode("grams").alias("bucket")), "word-pairs")
-    common = each.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
-    ranked = each.join(common, "bucket", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "bucket"))).alias("pairs"))
-    n = F.size("pairs") - 1
-    first = F.slice("pairs", 1, (2 * _allowed(n) + 2 + SHARED).cast("int"))
-    few = _named(ranked.select("node", n.alias("n"), F.filter(first, lambda p: p["rows"] > 1).alias("few")), roots)
-    return few.select(F.explode("few.bucket").alias("bucket"), "node", "n", "label")
+
+def _frequent(listed: DataFrame, common: DataFrame) -> DataFrame:
+    """(node, n, label, many): of each row's pairs those in common (bucket, rows), rarest first. There are fewer of these than pairs / MIDDLE, so they are broadcast and no row is dealt out by them."""
+    table_ = common.toArrow()
+    order = np.argsort(table_["bucket"].to_numpy())
+    known = listed.sparkSession.sparkContext.broadcast((table_["bucket"].to_numpy()[order], table_["rows"].to_numpy()[order]))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, rows = known.value
+        for batch in batches:
+            values, offsets = batch["pairs"].values.to_numpy(zero_copy_only=False), batch["pairs"].offsets.to_numpy()
+            at = np.minimum(np.searchsorted(buckets, values), max(len(buckets) - 1, 0))
+            hit = buckets[at] == values if len(buckets) else np.zeros(len(values), bool)
+            parts = []
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                own = at[a:b][hit[a:b]]
+                parts.append(buckets[own[np.lexsort((buckets[own], rows[own]))]])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], batch["label"], _listed(parts)], names=["node", "n", "label", "many"])
+
+    return listed.mapInArrow(of, "node long, n long, label long, many array<long>")
+
+
+def rare_pairs(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, n, label, few, many): each row (node, text) with a label (node, label) under its rarest word pairs; few are those of up to MIDDLE rows, many those of more.
+
+    Pairs that rows of one label have alone link nothing; they come first in the order and are left out. Of a text's pairs so many come that two
+    texts of different labels whose edit similarity is SIMILARITY or more share SHARED of them at least, or all the pairs they have to share if these
+    are fewer. An edit takes two pairs at most, so a text with more pairs that no other label has than its edits can take is like none of them, and goes.
+    """
+    listed = materialize(word_pairs(nodes.join(labels, "node")), "word-pairs")
+    each = listed.select("node", "label", F.explode("pairs").alias("bucket"))
+    counted = each.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    common = materialize(counted.where("l0 <> l1").select("bucket", "rows"), "common")
+    rare = each.select("node", "bucket").join(common.where(F.col("rows") <= MIDDLE), "bucket")
+    ranked = rare.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rows", "bucket"))).alias("few"))
+    both = _frequent(listed, common.where(F.col("rows") > MIDDLE)).join(ranked, "node", "left").withColumn("few", F.coalesce("few.bucket", F.array().cast("array<long>")))
+    lone = F.col("n") + 1 - F.size("few") - F.size("many")
+    room = (2 * _allowed(F.col("n")) + 2 + SHARED - lone).cast("int")
+    fitting = both.where(lone <= 2 * _allowed(F.col("n"))).withColumn("room", room)
+    return fitting.select("node", "n", "label", F.slice("few", F.lit(1), F.col("room")).alias("few"), F.slice("many", F.lit(1), F.greatest(F.lit(0), F.col("room") - F.size("few"))).alias("many"))
 
 
 def _allowed(n: Column) -> Column:
@@ -288,8 +322,8 @@ def _allowed(n: Column) -> Column:
 
 
 def _rare_candidates(open_: DataFrame) -> DataFrame:
-    """The pairs (a, b), a > b, of different labels that share enough buckets of up to MIDDLE members and are of like length."""
-    mine = open_.where(F.col("size") <= MIDDLE).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    """The pairs (a, b), a > b, of different labels that share enough buckets and are of like length."""
+    mine = open_.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     other = mine.select("bucket", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("la").alias("lb"))
     longer = F.greatest("na", "nb")
     near = F.abs(F.col("na") - F.col("nb")) <= _allowed(longer)
@@ -391,14 +425,30 @@ def _links_across(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _families(large: DataFrame) -> DataFrame:
-    """(bucket, node, label): buckets that hang together by common members as one, where that is less to compare than each by itself."""
-    lead = large.groupBy("bucket").agg(F.min("node").alias("lead"))
-    roots = components(large.join(lead, "bucket").select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    named = materialize(large.join(roots, "node", "left").withColumn("family", F.xxhash64(F.lit("family"), F.coalesce("root", "node"))).drop("root"), "families")
-    apart = named.groupBy("family", "bucket").agg(F.count("*").alias("m")).groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
-    together = named.select("family", "node").distinct().groupBy("family").agg((F.count("*") * F.count("*")).alias("together"))
+    """(bucket, node, label): rows (node, label, many) by the buckets they list; buckets that hang together by common rows as one, where that is less to compare
+    than each by itself. A row takes part by its first bucket, and by all of them only where each is by itself. Buckets of one label are left out."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            values, offsets = batch["many"].values.to_numpy(zero_copy_only=False), batch["many"].offsets.to_numpy()
+            leads = np.repeat(values[offsets[:-1]], np.diff(offsets))
+            found, rows = np.unique(np.stack([values[offsets[0] : offsets[-1]], leads]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(rows)], names=["a", "b", "m"])
+
+    links = materialize(large.select("many").mapInArrow(stars, "a long, b long, m long").groupBy("a", "b").agg(F.sum("m").alias("m")), "bucket-links")
+    roots = components(links.select("a", "b"))
+    family = materialize(links.groupBy("a").agg(F.sum("m").alias("m")).join(roots.withColumnRenamed("node", "a"), "a", "left").select(F.col("a").alias("first"), "m", F.coalesce("root", "a").alias("family")), "families")
+    named = materialize(large.withColumn("first", F.col("many")[0]).join(family.drop("m"), "first"), "in-families")
+    apart = family.groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    together = named.groupBy("family").agg((F.count("*") * F.count("*")).alias("together"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
     better = materialize(together.join(apart, "family").select("family", (F.col("together") <= F.col("apart")).alias("better")), "family-sizes")
-    return materialize(named.join(better, "family").select(F.when(F.col("better"), F.col("family")).otherwise(F.col("bucket")).alias("bucket"), "node", "label").distinct(), "large")
+    told = named.join(better, "family")
+    whole = told.where("better").select(F.xxhash64(F.lit("family"), "family").alias("bucket"), "node", "label")
+    single = materialize(told.where("not better").select(F.explode("many").alias("bucket"), "node", "label"), "single")
+    spread = materialize(single.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("bucket"), "spread")
+    return materialize(whole.unionByName(single.join(spread, "bucket", "left_semi")), "large")
 
 
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -449,14 +499,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     roots = extended(roots, materialize(verified(more, nodes, bags), "more-verified"))
     wide = members.where(F.col("size") > SMALL).drop("lead")
     if not wide.isEmpty():
-        again = _open(_named(wide, roots)).select("node").distinct()
-        pairs = materialize(rare_pairs(nodes.join(again, "node", "left_semi"), roots), "rare-pairs")
-        sizes = materialize(pairs.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "rare-sizes")
-        open_ = _open(pairs.join(sizes, "bucket"))
+        again = _open(_named(wide, roots)).select("node", "label").distinct()
+        pairs = materialize(rare_pairs(nodes, materialize(again, "again")), "rare-pairs")
+        rare = materialize(pairs.select(F.explode("few").alias("bucket"), "node", "n", "label"), "rare-rows")
+        sizes = materialize(rare.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "rare-sizes")
+        open_ = _open(rare.join(sizes, "bucket"))
         tried = led.unionByName(more)
         few = materialize(_rare_candidates(open_).join(tried, ["a", "b"], "left_anti"), "rare-candidates")
         few = materialize(verified(few, nodes, bags), "rare-verified")
-        many = _across(_families(open_.where(F.col("size") > MIDDLE).drop("n")), nodes)
+        many = _across(_families(pairs.where(F.size("many") > 0)), nodes)
         roots = extended(roots, few.unionByName(materialize(many, "across")))
     named = materialize(firsts.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("class")), "named")
     sized = materialize(keys.join(named, "key").select("doc_id", "key", "class"), "sized")
