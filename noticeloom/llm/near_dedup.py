@@ -44,6 +44,8 @@ MIDDLE = 256
 SHARED = 4
 #: Rows of a large bucket that are compared with as many others in one group.
 BLOCK = 256
+#: Bits by which texts are told that may be wanted; 16 MiB.
+BITS = 1 << 27
 SEED = 3
 #: Edits of the widest band.
 NARROW = 32
@@ -240,6 +242,17 @@ def like(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(bag("b", "y"), "b").join(bag("a", "x"), "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def marked(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of nodes whose number is in wanted, and a few others: hashes of wanted are bits of up to BITS, broadcast, by which most other texts stay where they lie."""
+    bits = min(BITS, max(1 << 15, 1 << (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("node"), F.lit(bits)) + 1
+    maps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = nodes.join(F.broadcast(materialize(maps, "bits")), F.bitmap_bucket_number(place) == F.col("part"))
+    return found.where(F.getbit(byte, at % 8) == 1).select(*nodes.columns)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar; nodes has (node, text) of all of them, bags (node, n, bag)."""
 
@@ -491,7 +504,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows, bags = lists.select("node", F.explode("buckets").alias("bucket")), lists.select("node", "n", "bag")
     buckets = materialize(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1"), "buckets")
     members = materialize(rows.join(buckets, "bucket"), "members")
-    nodes = materialize(present.join(materialize(members.select("node").distinct(), "wanted"), "node", "left_semi"), "candidates")
+    nodes = materialize(marked(present, materialize(members.select("node").distinct(), "wanted")), "candidates")  # the few others meet no pair
     led = materialize(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
     roots = components(materialize(verified(led, nodes, bags), "verified"))
     open_ = _open(_named(members.where((F.col("size") > 2) & (F.col("size") <= SMALL)).drop("lead"), roots))

@@ -61,6 +61,15 @@ def test_families_each_by_itself(spark, monkeypatch):
                 assert any({a[0], b[0]} <= x for x in buckets.values())
 
 
+def test_only_wanted_texts_travel(spark):
+    nodes = spark.range(20_000).select(F.col("id").alias("node"), F.lit("x").alias("text"))
+    wanted = spark.range(0, 20_000, 10).select(F.col("id").alias("node"))
+    got = {r.node for r in near_dedup.marked(nodes, wanted).collect()}
+    assert got >= set(range(0, 20_000, 10)) and len(got) < 4_000
+    assert near_dedup.marked(nodes, wanted.limit(0)).count() == 0
+    assert "Exchange hashpartitioning(node" not in near_dedup.marked(nodes, wanted)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_finer_than_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", 2)
     rng = random.Random(25)
