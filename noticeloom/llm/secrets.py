@@ -7,13 +7,14 @@ beside the spans of the fixed patterns. Everything is DataFrame code; a text's s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import table, texts
+from noticeloom.llm.common import spread, table, texts
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -21,11 +22,14 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
+#: The same with the least lengths; characters that are listed one by one are told faster than ranges.
+ACCESS_LONG = rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"
+HEX_LONG = rf"[0123456789abcdef]{{{HEX_LEAST},}}"
 
 #: Characters that the models know; a run of them is scored if it has at least MARKOV_LEAST.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-MARKOV = r"[A-Za-z0-9+/_-]+"
 MARKOV_LEAST = 20
+MARKOV = rf"[{ALPHABET}]{{{MARKOV_LEAST},}}"  # '-' comes last
 #: A run is a secret from this sum of log ratios on.
 THRESHOLD = 8.0
 #: Training rows of each label at most (those with the least hash), and about how many documents they come from: random ones, ordinary ones.
@@ -36,40 +40,62 @@ SAMPLE_DOCUMENTS = 2_000
 PRIOR = 8.0
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of all values before each, by blocks of about the square root of their number, so that a million matches in one text stay cheap."""
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once a row: inside a lambda everything but its variables is worked out anew for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _sums(values: Column) -> Column:
+    """Sums of all values up to each, by doubling: log2 n passes over n values, so that a million matches in one text stay cheap."""
     zero = F.lit(0).cast("long")
-    total = lambda part: F.aggregate(part, zero, lambda a, x: a + x)
-    n = F.size(lengths)
-    k = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
-    blocks = F.transform(F.sequence(F.lit(0), ((n - 1) / k).cast("int")), lambda b: total(F.slice(lengths, b * k + 1, k)))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: total(F.slice(blocks, F.lit(1), (i / k).cast("int"))) + total(F.slice(lengths, (i / k).cast("int") * k + 1, i % k)))
 
+    def doubled(sums: Column, step: Column) -> Column:
+        far = F.call_function("shiftleft", F.lit(1), step)
+        return F.zip_with(sums, F.concat(F.array_repeat(zero, far), F.slice(sums, F.lit(1), F.size(sums) - far)), lambda a, b: a + b)
+
+    steps = F.ceil(F.log2(F.size(values))).cast("int")
+    return F.aggregate(F.when(steps > 0, F.sequence(F.lit(0), steps - 1)).otherwise(F.array().cast("array<int>")), values, doubled)
 
-def spans(text: Column, pattern: str, kind: str, keep, group: int = 0) -> Column:
+
+def spans(text: Column, pattern: str, kind: str, keep, group: int = 0, holds: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as (start, rank, end, value): code points, end exclusive, rank of the kind; keep(value) drops failing ones.
 
-    The pieces between matches and the matches alternate, so lengths add up to positions.
+    The pieces between matches and the matches alternate, so lengths add up to positions. Each list is made once a text. `holds` tells texts with a match, if there
+    is a cheaper test than the pattern.
     """
     rank = KINDS.index(kind)
     empty = F.array().cast("array<struct<start:long,rank:int,end:long,value:string>>")
-    whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    value = F.transform(whole, lambda w: F.regexp_extract(w, pattern, group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(gaps, whole, lambda g, m: (F.length(g) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
-    ends = F.zip_with(_running(sizes), sizes, lambda a, b: a + b)
-    rows = F.zip_with(F.arrays_zip(ends.alias("ends"), whole.alias("whole")), value, lambda p, v: F.struct((p["ends"] - F.length(p["whole"])).alias("start"), F.lit(rank).alias("rank"), p["ends"].alias("end"), v.alias("value")))
-    found = F.filter(rows, lambda s: s["value"].isNotNull() & keep(s["value"]))
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    value = lambda w: F.regexp_extract(w, pattern, group) if group else w
+
+    def placed(whole: Column) -> Column:
+        sizes = F.zip_with(F.split(text, pattern, -1), whole, lambda g, m: (F.length(g) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
+        row = lambda ends: lambda w, i: F.struct((F.get(ends, i) - F.length(w)).alias("start"), F.lit(rank).alias("rank"), F.get(ends, i).alias("end"), value(w).alias("value"))
+        return _bound(_bound(sizes, _sums), lambda ends: F.transform(whole, row(ends)))
+
+    found = F.filter(_bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed), lambda s: keep(s["value"]))
+    return F.when(text.rlike(pattern) if holds is None else holds, found).otherwise(empty)
+
+
+def _holds_assign(text: Column) -> Column:
+    """Whether ASSIGN matches: texts without its sign or its words, which are told far faster, are not tried."""
+    lower = F.lower(text)
+    words = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(w)) for w in ("passw", "secret", "token", "api")))
+    return (F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))) & words & text.rlike(ASSIGN)
+
+
+def base_holds(text: Column) -> list[Column]:
+    """Whether a text has a match of each of the three fixed kinds, before `keep`."""
+    return [_holds_assign(text), F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS_LONG), text.rlike(HEX_LONG)]
 
 
 def base_spans(text: Column) -> list[Column]:
     """The three fixed kinds. Matches of access and hex have no shorter variant in the same run, so their least length stands in the pattern."""
     always = lambda v: F.lit(True)
+    assign, access, hexadecimal = base_holds(text)
     return [
-        spans(text, ASSIGN, "assign", lambda v: F.length(v) >= ASSIGN_LEAST, 2),
-        spans(text, rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}", "access", always),
-        spans(text, rf"[0-9a-f]{{{HEX_LEAST},}}", "hex", always),
+        spans(text, ASSIGN, "assign", lambda v: F.length(v) >= ASSIGN_LEAST, 2, assign),
+        spans(text, ACCESS_LONG, "access", always, holds=access),
+        spans(text, HEX_LONG, "hex", always, holds=hexadecimal),
     ]
 
 
@@ -84,7 +110,7 @@ def labelled_samples(documents: DataFrame) -> DataFrame:
     n = docs.count()
     drawn = lambda some: docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // some))) == 0).select("doc_id", "text").distinct()
     found = reduce(lambda a, b: F.concat(a, b), base_spans(F.col("text")))
-    anything = F.col("text").rlike(ASSIGN) | F.col("text").rlike(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}") | F.col("text").rlike(rf"[0-9a-f]{{{HEX_LEAST},}}")
+    anything = reduce(lambda a, b: a | b, base_holds(F.col("text")))
     positive = drawn(RANDOM_DOCUMENTS).where(anything).select(F.explode(F.transform(found, lambda s: s["value"])).alias("value")).select("value", F.lit(True).alias("random"))
     negative = drawn(SAMPLE_DOCUMENTS).where(~anything).select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_-]{6,}"), F.lit(0))).alias("value")).select("value", F.lit(False).alias("random"))
     least = lambda df: df.orderBy(F.xxhash64("value"), "value").limit(SAMPLE_ROWS)
@@ -111,16 +137,16 @@ def markov_spans(text: Column, ratios: list[float]) -> Column:
 
     def random(value: Column) -> Column:
         codes = F.transform(F.split(value, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
-        scores = F.zip_with(codes, F.slice(codes, 2, F.length(value) - 1), lambda a, b: F.coalesce(F.get(ratio, a * k + b), F.lit(0.0)))
+        scores = _bound(codes, lambda all_: F.transform(all_, lambda a, i: F.coalesce(F.get(ratio, a * k + F.get(all_, i + 1)), F.lit(0.0))))
         return F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) >= THRESHOLD
 
-    return spans(text, rf"[A-Za-z0-9+/_-]{{{MARKOV_LEAST},}}", "markov", random)
+    return spans(text, MARKOV, "markov", random)
 
 
 def find_secrets(documents: DataFrame, ratios: list[float]) -> DataFrame:
     """doc_id and found: every span (start, rank, end, value), by start and then kind. A text without any has an empty list; null is empty."""
     kinds = [*base_spans(F.col("text")), markov_spans(F.col("text"), ratios)]
-    return texts(documents).select("doc_id", F.array_sort(reduce(lambda a, b: F.concat(a, b), kinds)).alias("found"))
+    return spread(texts(documents)).select("doc_id", F.array_sort(reduce(lambda a, b: F.concat(a, b), kinds)).alias("found"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
