@@ -1,16 +1,19 @@
 """Many terms at once: an automaton (a trie with failure links) reads each text a single time, however many terms there are.
 
 The terms are rules, so they come with the plan; each Python worker builds their automaton once and keeps it. Texts
-come in Arrow batches. A table of terms that is data itself belongs into a join: operators.rules.term_hits.
+come in Arrow batches. A table of terms that is data itself comes in blocks: operators.rules.term_hits.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +87,34 @@ def first_rule(text: Column, rules: Sequence[Sequence[str]]) -> Column:
         return pd.Series([first(v) for v in values], dtype="Int32", index=values.index)
 
     return each(text)
+
+
+@lru_cache(maxsize=1)
+def _byte_automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Each word with its place in the list; one such automaton at a time is kept."""
+    found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for place, word in enumerate(words):
+        found.add_word(word, place)
+    found.make_automaton()
+    return found
+
+
+def places_held(text: Column, words: Sequence[bytes]) -> Column:
+    """The places in the list of the distinct, non-empty words that occur in the text, each once; none in a null text.
+
+    Words and text are read byte by byte, so that a node has few ways on in any script; in UTF-8 no word begins within a character.
+    """
+    letters = tuple(w.decode("latin-1") for w in words)
+
+    @F.arrow_udf("array<int>")
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = _byte_automaton(letters) if letters else None
+        for batch in batches:
+            places, ends = array("i"), [0]
+            for value in batch:
+                if found and value.is_valid:
+                    places.extend({place for _, place in found.iter(value.as_py().decode("latin-1"))})
+                ends.append(len(places))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(places, np.int32) if places else [], pa.int32()))
+
+    return each(text.cast("binary"))

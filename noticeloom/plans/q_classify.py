@@ -240,7 +240,7 @@ def benchmark_terms(t: Tables) -> DataFrame:
 
 @query("term_hits_index", f"WITH terms AS ({_TERM_WORDS}), d AS (SELECT doc_id, lower(replace(text, ' ', '')) AS t FROM documents) SELECT doc_id, term FROM d JOIN terms ON contains(t, term)")
 def term_hits_index(t: Tables) -> DataFrame:
-    """Which of thousands of terms occur in which texts, by an inverted index of the terms' grams."""
+    """Which of thousands of terms occur in which texts: one automaton a block of terms, one pass over each text."""
     return R.term_hits(t.documents, "doc_id", "text", benchmark_terms(t))
 
 
